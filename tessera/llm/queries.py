@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, sharding
+from tessera.llm import mixing, sharding, token_files
+from tessera.llm.scratch import new_path
+
+#: The vocabulary of the token queries, and the id that ends a document.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +24,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, TOKENIZER, END_ID)
+    return token_files.read_token_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op5_token_files": op5_token_files,
     "op10_sharding": op10_sharding,
 }
 
