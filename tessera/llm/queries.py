@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_dedup, packing, quality, repeats, sharding, token_files
+from tessera.llm import mixing, near_dedup, packing, quality, repeats, sharding, token_files, topk
 from tessera.llm.scratch import new_path
 
 #: The vocabulary of the token queries, and the id that ends a document.
@@ -46,6 +46,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80).documents
 
@@ -60,8 +64,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
+    "op6_topk": op6_topk,
     "op8_near_dedup": op8_near_dedup,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_topk": """
+        with v as (select row_number() over () as row_id, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as values
+                   from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             s as (select q.row_id, q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.values as double[]), cast(c.values as double[])) as bigint) as score
+                   from v q join v c on q.row_id <> c.row_id where q.vec_id % 50 = 0)
+        select query_id, cast(row_number() over (partition by row_id order by score desc, vec_id nulls last) as int) as rank, vec_id, score
+        from s qualify row_number() over (partition by row_id order by score desc, vec_id nulls last) <= 5
+    """,
+}
