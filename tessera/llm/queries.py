@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_dedup, packing, quality, repeats, sharding, token_files, topk
+from tessera.llm import mixing, near_dedup, packing, quality, repeats, sharding, token_files, topk, url_filter
 from tessera.llm.scratch import new_path
 
 #: The vocabulary of the token queries, and the id that ends a document.
@@ -50,6 +50,46 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+#: The entries and fetch times of the URL query; the tables have neither, so both are rules.
+#: Hosts seen in the pages are listed, by a digest of the name: one in four for some time on
+#: list ads (as hosts), one in five domains on list spam, and of it one in two is removed later;
+#: one in three first path segments on list paths. A page is fetched on day page_id % 366.
+FETCHED = "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(page_id % 366 as int), cast(page_id % 24 as int), 0, 0)"
+
+
+def _list_entries(pages: DataFrame) -> DataFrame:
+    part = url_filter.url_parts(F.col("url"))
+    seen = pages.filter("url is not null").select(part["host"].alias("host"), F.split(part["path"], "/")[1].alias("segment")).distinct()
+    hosts = seen.select("host").distinct()
+    number = F.conv(F.substring(F.md5("pattern"), 1, 8), 16, 10).cast("long")
+
+    def dated(names: DataFrame, list_name: str, kind: str, action: str, one_in: int, least: int) -> DataFrame:
+        day = F.date_add(F.lit("2024-01-01").cast("date"), (least + F.pmod(F.floor(number / 64), F.lit(180))).cast("int"))
+        picked = names.distinct().filter(F.pmod(number, F.lit(one_in)) == 0)
+        return picked.select(F.lit(list_name).alias("list_name"), F.lit(kind).alias("kind"), "pattern", F.lit(action).alias("action"), day.cast("timestamp_ntz").alias("since"))
+
+    domain = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+|[^.]+\.[^.]+)$", 1).alias("pattern"))
+    host = hosts.select(F.col("host").alias("pattern"))
+    prefix = seen.filter("segment <> ''").select(F.concat_ws("/", "host", "segment").alias("pattern"))
+    parts = [
+        dated(host, "ads", "host", "add", 4, 0),
+        dated(host, "ads", "host", "remove", 8, 200),
+        dated(domain, "spam", "domain", "add", 5, 0),
+        dated(domain, "spam", "domain", "remove", 10, 150),
+        dated(prefix, "paths", "prefix", "add", 3, 60),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr(FETCHED).alias("fetched_at"))
+    return url_filter.filter_urls(captures, _list_entries(pages))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80).documents
 
@@ -65,11 +105,99 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op6_topk": op6_topk,
+    "op7_url_filter": op7_url_filter,
     "op8_near_dedup": op8_near_dedup,
     "op10_sharding": op10_sharding,
 }
 
 SQL: dict[str, str] = {
+    "op4_mixing": r"""
+        with base as (
+          select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+                 md5('mix|' || coalesce(cast(doc_id as varchar), '')) as draw
+          from documents),
+        sizes as (select source, sum(size)::bigint as source_size, count(*) as source_docs from base group by source),
+        shape as (select greatest(1, cast(floor(floor(sum(source_size) * 1.5) / 1048576) as bigint)) as block from sizes),
+        weighed as (select *, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3) + 1]::double as weight from sizes),
+        capped as (select *, source_size * 2.0::double as cap, source_size * 2.0::double / weight as reach from weighed),
+        levels as (
+          select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over rising, 0)) / (sum(weight) over () - coalesce(sum(weight) over rising, 0)) as level
+          from capped window rising as (order by reach, source nulls last rows between unbounded preceding and 1 preceding)),
+        goals as (select source, source_size, source_docs, least(cap, max(level) over () * weight) as target from levels),
+        shares as (
+          select g.*, block, cast(round(sum(target) over () / block) as bigint) as blocks, count(*) over () as n_sources,
+                 case when sum(target) over () > 0 then target * cast(round(sum(target) over () / block) as bigint) / sum(target) over () else 0 end as share
+          from goals g, shape),
+        slack as (select *, cast(ceil(case when blocks > 0 then share * n_sources / (2 * blocks) else 0 end) as bigint) + 2 as spare from shares),
+        granted as (select *, greatest(0, cast(floor(share) as bigint) - spare) as granted, cast(ceil(share) as bigint) + spare as last from slack),
+        listed as (
+          select source, blocks - sum(granted) over () as open_blocks, target, granted, last from granted),
+        quotients as (select source, open_blocks, k, target / (2 * k + 1) as quotient from (select *, unnest(range(granted, last + 1)) as k from listed where target > 0)),
+        won as (
+          select source, count(*) as won
+          from (select *, row_number() over (order by quotient desc, source nulls last, k) as place from quotients) where place <= open_blocks group by source),
+        quotas as (
+          select g.source, source_size, source_docs, target, block, least((granted + coalesce(won, 0)) * block, source_size * 2) as quota
+          from granted g left join won w on g.source is not distinct from w.source),
+        dealt as (
+          select b.doc_id, b.source, b.size, b.draw, q.source_size, q.target, q.quota, q.block,
+                 cast('0x' || substr(draw, 1, 8) as bigint) % (source_docs // 2048 + 1) as shard
+          from base b join quotas q on b.source is not distinct from q.source),
+        parts as (
+          select source, shard, quota, source_size, block, sum(size)::bigint as part from dealt group by all),
+        ends as (
+          select *, coalesce(cast((quota::hugeint * sum(part) over (partition by source order by shard)::hugeint) // nullif(source_size, 0) as bigint), 0) as upto from parts),
+        cuts as (select *, upto - coalesce(lag(upto) over (partition by source order by shard), 0) as part_quota from ends),
+        rings as (
+          select source, shard, part, case when part > 0 then part_quota // part else 0 end as turns, case when part > 0 then part_quota % part else 0 end as rest,
+                 case when part // block > 0
+                      then cast('0x' || substr(md5('mix|start|' || coalesce(source, '') || '|' || shard), 1, 12) as bigint) % (part // block) * block else 0 end as first
+          from cuts),
+        laid as (
+          select d.*, coalesce(sum(size) over (partition by source, shard order by draw, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as lo from dealt d)
+        select doc_id, size, l.source_size, target,
+               cast(turns * size + least(greatest(first + rest - lo, 0), size) - least(greatest(first - lo, 0), size)
+                    + least(greatest(first + rest - part - lo, 0), size) as bigint) as taken
+        from laid l join rings r on l.source is not distinct from r.source and l.shard = r.shard
+    """,
+    "op7_url_filter": r"""
+        with base as (
+          select page_id, url, timestamp '2024-01-01 00:00:00' + to_days(cast(page_id % 366 as int)) + to_hours(cast(page_id % 24 as int)) as fetched_at,
+                 regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest
+          from pages),
+        parts as (
+          select page_id, url, fetched_at, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) as path,
+                 regexp_replace(lower(regexp_extract(regexp_extract(rest, '^([^/?#]*)', 1), '^(?:.*@)?([^:]*)', 1)), '\.+$', '') as host
+          from base),
+        seen as (select distinct host, string_split(path, '/')[2] as segment from parts where url is not null),
+        hosts as (select distinct host as pattern from seen),
+        domains as (select distinct regexp_extract(pattern, '([^.]+\.[^.]+\.[^.]+|[^.]+\.[^.]+)$', 1) as pattern from hosts),
+        prefixes as (select distinct host || '/' || segment as pattern from seen where segment <> ''),
+        named as (
+          select 'ads' as list_name, 'host' as kind, 'add' as action, 4 as one_in, 0 as least_day, pattern from hosts
+          union all select 'ads', 'host', 'remove', 8, 200, pattern from hosts
+          union all select 'spam', 'domain', 'add', 5, 0, pattern from domains
+          union all select 'spam', 'domain', 'remove', 10, 150, pattern from domains
+          union all select 'paths', 'prefix', 'add', 3, 60, pattern from prefixes),
+        entries as (
+          select list_name, kind, lower(trim(pattern)) as pattern, action,
+                 cast(date '2024-01-01' + cast(least_day + (cast('0x' || substr(md5(pattern), 1, 8) as bigint) // 64) % 180 as int) as timestamp) as since
+          from named where cast('0x' || substr(md5(pattern), 1, 8) as bigint) % one_in = 0),
+        once as (select list_name, kind, pattern, since, bool_or(action = 'remove') as removed from entries group by all),
+        spans as (select *, lead(since) over (partition by list_name, kind, pattern order by since) as until from once),
+        asked as (select distinct url, fetched_at, host, list_filter(string_split(path, '/'), lambda x: x <> '') as segments, string_split(host, '.') as labels from parts where url is not null),
+        keys as (
+          select url, fetched_at, 'host' as kind, host as pattern from asked
+          union all select url, fetched_at, 'domain', array_to_string(labels[i:], '.') from (select *, unnest(range(1, len(labels) + 1)) as i from asked)
+          union all select url, fetched_at, 'prefix', host || '/' || array_to_string(segments[:i], '/') from (select *, unnest(range(1, least(len(segments), 4) + 1)) as i from asked)),
+        active as (
+          select k.url, k.fetched_at, count(distinct list_name) as n_lists, min(list_name) as first_list
+          from keys k join spans s on s.kind = k.kind and s.pattern = k.pattern and not s.removed
+               and s.since <= k.fetched_at and (s.until is null or k.fetched_at < s.until)
+          group by all)
+        select page_id, b.url, b.fetched_at, coalesce(n_lists, 0) > 0 as blocked, coalesce(n_lists, 0) as n_lists, first_list
+        from base b left join active a on a.url = b.url and a.fetched_at = b.fetched_at
+    """,
     "op6_topk": """
         with v as (select row_number() over () as row_id, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as values
                    from embeddings
