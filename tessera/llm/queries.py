@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_dedup, packing, quality, repeats, sharding, token_files, topk, url_filter
+from tessera.llm import media, mixing, near_dedup, packing, quality, repeats, sharding, token_files, topk, url_filter
 from tessera.llm.scratch import new_path
 
 #: The vocabulary of the token queries, and the id that ends a document.
@@ -94,6 +94,18 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80).documents
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images, so every vector is drawn as 8 x 8 grey tiles; a row whose id is 3
+    modulo 10 shows a cropped and brightened copy of the row before it."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    before = vectors.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("shown"))
+    is_copy = F.coalesce(F.pmod("vec_id", F.lit(10)) == 3, F.lit(False))
+    shown = vectors.join(before, "vec_id", "left").select(
+        "vec_id", F.when(is_copy & F.col("shown").isNotNull(), F.col("shown")).otherwise(F.col("embedding")).alias("embedding"), (is_copy & F.col("shown").isNotNull()).alias("crop")
+    )
+    return media.image_copies(media.rendered(shown))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -107,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": op6_topk,
     "op7_url_filter": op7_url_filter,
     "op8_near_dedup": op8_near_dedup,
+    "op9_image_copies": op9_image_copies,
     "op10_sharding": op10_sharding,
 }
 
