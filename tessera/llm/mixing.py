@@ -163,3 +163,27 @@ def plan_mix(
     )
     taken = F.col("turns") * F.col("size") + (F.col("run_hi") - F.col("run_lo")) + F.col("wrap_hi")
     return rows.withColumn("taken", taken.cast("long")).withColumnRenamed("key", key).withColumnRenamed("source", source)
+
+
+def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of the mix: ``docs`` with each document once for every whole copy taken, and once
+    more with the words of each run where a block's edge cuts it.
+
+    A cut text is its words joined by single spaces; ``n_chars``, if there, follows the text.
+    Documents are matched by key and number of words, so rows that repeat a key with texts of
+    different lengths keep their own plan; rows that share both are interchangeable.
+    """
+    of_row = plan.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(
+        F.max(F.struct("turns", "run_lo", "run_hi", "wrap_hi")).alias("_take")
+    )
+    rows = docs.withColumn("_words", word_count(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    rows = rows.join(of_row, same)
+    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("lo"), F.col("_words").alias("hi")), F.col("_take.turns").cast("int"))
+    run = F.array(F.struct(F.col("_take.run_lo").cast("long").alias("lo"), F.col("_take.run_hi").cast("long").alias("hi")), F.struct(F.lit(0).cast("long").alias("lo"), F.col("_take.wrap_hi").cast("long").alias("hi")))
+    rows = rows.withColumn("_part", F.explode(F.concat(whole, F.filter(run, lambda r: r["hi"] > r["lo"]))))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})")), F.col("_part.lo").cast("int") + 1, (F.col("_part.hi") - F.col("_part.lo")).cast("int")), " ")
+    rows = rows.withColumn(text, F.when((F.col("_part.lo") == 0) & (F.col("_part.hi") == F.col("_words")), F.col(text)).otherwise(cut))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length(text).cast("long"))
+    return rows.select(*docs.columns)
