@@ -171,7 +171,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
     rows = usable.select(F.col(key).cast("long").alias("id"), whole.alias("values"))
     is_query = F.coalesce(F.pmod(F.col("id"), F.lit(every)) == 0, F.lit(False))
     # Queries fill blocks of their own, so a batch of queries is a block and knows its own rows.
-    asked = written(rows.filter(is_query).mapInArrow(_packer(QUERIES), PACKED), "query-blocks")
+    # They have negative numbers, apart from the others'.
+    asked = rows.filter(is_query).mapInArrow(_packer(QUERIES), PACKED)
+    asked = written(asked.withColumn("block", -1 - F.col("block")), "query-blocks")
     rest = written(rows.filter(~is_query).mapInArrow(_packer(BLOCK), PACKED), "vector-blocks")
     lanes = max(1, (rest.count() + asked.count()) // LANE_BLOCKS)
     lane = F.pmod(F.xxhash64("part", "block"), F.lit(lanes)).cast("int")
