@@ -32,6 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The one with the smallest doc_id stays; of rows that repeat its doc_id, one.
     """
+    docs = docs.select(*COLUMNS)
     found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80).documents
     kept = found.filter("kept").select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_kept"))
     return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
@@ -39,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes or more that also occur elsewhere."""
+    docs = docs.select(*COLUMNS)
     changed = repeats.cut(docs, repeats.repeated_spans(docs, 200)).select("text_key", "kept_text")
     rows = docs.withColumn("text_key", repeats.text_key(F.col("text"))).join(changed, "text_key", "left")
     rows = rows.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")))
@@ -47,6 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for every whole copy and every run of words that it takes."""
+    docs = docs.select(*COLUMNS)
     plan = mixing.plan_mix(docs)
     return mixing.mixed(docs, plan).select(*COLUMNS)
 

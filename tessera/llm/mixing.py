@@ -176,7 +176,7 @@ def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "
     of_row = plan.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(
         F.max(F.struct("turns", "run_lo", "run_hi", "wrap_hi")).alias("_take")
     )
-    rows = docs.withColumn("_words", word_count(F.col(text)))
+    rows = docs.withColumn("_words", word_count(F.col(text))).filter("_words > 0")
     same = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
     rows = rows.join(of_row, same)
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("lo"), F.col("_words").alias("hi")), F.col("_take.turns").cast("int"))
