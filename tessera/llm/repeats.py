@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import mix, prefix_sums, range_hash, slices, text_buffers
-from tessera.llm.scratch import written
+from tessera.llm.scratch import small, written
 
 GRAM = 32
 #: Units in a batch of the index family.
@@ -241,6 +241,15 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _bodies(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """text_key and text of each distinct text with a key in the written table ``wanted``.
+
+    Few keys are sent to the documents; many are met in the join that follows.
+    """
+    bodies = docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return bodies.join(small(wanted.select("text_key")), "text_key", "left_semi").dropDuplicates(["text_key"])
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text") -> DataFrame:
     """text_key, spans: for each distinct text with repeats, the byte ranges [lo, hi) to remove.
 
@@ -256,8 +265,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text") -> Da
     where = F.struct("text_key", "first", "windows", "shift")
     distinct = candidates.groupBy("pick", "print").agg(F.count("*").alias("n"), F.min(where).alias("at"))
     wanted = distinct.groupBy("at.text_key").agg(F.collect_list(F.struct("pick", "print", "n", "at.first", "at.windows", "at.shift")).alias("wanted"))
-    bodies = docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["text_key"])
-    read = bodies.join(wanted, "text_key").select("text", "wanted").mapInArrow(_unit_reader(length), "pick long, print long, shift int, n long, body binary")
+    wanted = written(wanted, "units-wanted")
+    read = _bodies(docs, text, wanted).join(wanted, "text_key").select("text", "wanted").mapInArrow(_unit_reader(length), "pick long, print long, shift int, n long, body binary")
     dealt = read.repartition("pick")
     matched = dealt.mapInArrow(_indexer(length), "pick long, print long, lo array<int>, hi array<int>")
     spans = candidates.select("text_key", "pick", "print", "first").join(matched, ["pick", "print"])
@@ -297,8 +306,7 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
 
     ``kept_text`` leaves out the parts of characters that a cut has split.
     """
-    bodies = docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = bodies.dropDuplicates(["text_key"]).join(spans, "text_key").select("text_key", "text", "spans")
+    joined = _bodies(docs, text, spans).join(spans, "text_key").select("text_key", "text", "spans")
     return joined.mapInArrow(_cutter, "text_key binary, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -43,6 +44,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which a written table is sent to all executors.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, to be broadcast if it has BROADCAST_ROWS at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -90,7 +90,7 @@ def _first(scores: np.ndarray, ids: np.ndarray, edge: int, k: int) -> np.ndarray
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
-LOWEST = np.iinfo(np.int64).min
+LOWEST = np.iinfo(np.int64).min + 1  # its negative is a number too
 
 
 def _searcher(k: int) -> Callable:
