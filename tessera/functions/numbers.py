@@ -60,7 +60,7 @@ def poll_delay(failures: Column) -> Column:
 def confidence(value: Column) -> Column:
     """Shares in (0, 1] as percent, then rounded and kept within 0 and 100; null and NaN are 0."""
     scaled = F.when((value > 0) & (value <= 1), value * 100).otherwise(value)
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.round(F.nanvl(scaled, F.lit(0.0))))), F.lit(0)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.round(F.nanvl(F.coalesce(scaled, F.lit(0.0)), F.lit(0.0))))).cast("int")
 
 
 def ratio(a: Column, b: Column, digits: int = 2) -> Column:

@@ -123,7 +123,7 @@ def distinct_ignoring_case(items: Column) -> Column:
 
 def unique_strings(items: Column) -> Column:
     """Trimmed, without empty ones, first occurrences in order."""
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def display_name(full: Column, user: Column, mail: Column) -> Column:
@@ -146,7 +146,7 @@ def needs_translation(text: Column, fewest: int = 20, share: float = 0.35) -> Co
 
 def clauses(text: Column) -> Column:
     """Sentences and parts between semicolons."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def humanised(key: Column) -> Column:
