@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text, urls
+from tessera.functions import arrays, metrics, text, urls
 from tessera.operators import listing, matching, scoring
 from tessera.plans.registry import AS_OF, Tables, query
 from tessera.sources import html
@@ -156,3 +156,34 @@ def json_buckets(t: Tables) -> DataFrame:
 def ordered_trail(t: Tables) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("conv_id", "turn", "text")))
     return t.conversations.filter("conv_id < 5").groupBy("role").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "|").alias("trail"))
+
+
+@query()
+def metric_tokens(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", metrics.metrics(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", "|").alias("tokens"))
+
+
+@query()
+def claim_grounding(t: Tables) -> DataFrame:
+    """Each benchmark passage as a claim against the document of the same number."""
+    joined = t.benchmark.join(t.documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("evidence")), "item_id")
+    checked = joined.select("item_id", metrics.grounding(metrics.metrics(F.col("text")), metrics.metrics(F.col("evidence"))).alias("g"))
+    return checked.select("item_id", "g.supported", F.array_join("g.unsupported", "|").alias("unsupported"))
+
+
+@query()
+def chunk_paragraphs(t: Tables) -> DataFrame:
+    chunks = t.documents.select("doc_id", F.posexplode(arrays.packed_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("chunk", "part"))
+    return chunks.select("doc_id", "chunk", F.length("part").alias("n_chars"))
+
+
+@query("select event_type, '{\"type\":\"bar\",\"data\":[' || string_agg('{\"name\":\"' || d || '\",\"value\":' || n || '}', ',' order by d) || '],\"title\":\"By day\"}' as chart from (select event_type, cast(cast(ts as date) as varchar) as d, count(*) as n from events group by 1, 2) group by 1")
+def chart_payload(t: Tables) -> DataFrame:
+    days = t.events.groupBy("event_type", F.col("ts").cast("date").cast("string").alias("d")).agg(F.count("*").alias("n"))
+    return days.groupBy("event_type").agg(arrays.chart(F.col("d"), F.col("n"), "By day").alias("chart"))
+
+
+@query("select conv_id, list_aggregate(list_sort(list(turn))[-3:], 'string_agg', ',') as last_turns from conversations group by 1")
+def bounded_log(t: Tables) -> DataFrame:
+    turns = F.sort_array(F.collect_list("turn"))
+    return t.conversations.groupBy("conv_id").agg(F.array_join(arrays.last_items(turns, 3).cast("array<string>"), ",").alias("last_turns"))
