@@ -13,8 +13,9 @@ similarity 0.8 is missed with a probability of 5e-6, at 0.85 of 1e-9.
 Exact check: candidates are compared on their full shingle sets, read from the texts again.
 
 Large groups: only components matter, so not all pairs of a band are compared. Texts with
-one shingle set are one node. In a band, one leader is compared with all others; those
-found linked join its component. What is left - pairs in different components that no comparison has settled - is
+one shingle set are one node. In a band, the node that meets most others in all its bands -
+the text that a group's copies were made from, say - is compared with the rest; those found
+linked join its component. What is left - pairs in different components that no comparison has settled - is
 small for groups of copies; while it isn't, more leaders are taken from each band, twice as
 many in every round, and at last all pairs left are compared. Every pair that shares a band
 thus ends up compared, or linked to one leader.
@@ -186,19 +187,22 @@ def near_duplicates(
     source = rows_in.join(named, rows_in["doc_id"].eqNullSafe(named["first_id"])).select("node", "mark", "text")
     sets = written(source.mapInArrow(_set_maker(shingle_words), "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
 
-    left = members.withColumn("label", F.col("node"))
+    # How many rows a node meets in its bands: most for the centre of a group of copies.
+    sizes = members.groupBy("band").agg(F.count("*").alias("met"))
+    weights = members.join(sizes, "band").groupBy("node").agg(F.sum("met").alias("weight"))
+    left = members.join(weights, "node").withColumn("label", F.col("node"))
     links, leaders = None, 1
     while True:
-        by_label = left.groupBy("band", "label").agg(F.count("*").alias("m"), F.min("node").alias("first"))
-        bands_left = by_label.groupBy("band").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("labels"), F.min("first").alias("first"))
+        by_label = left.groupBy("band", "label").agg(F.count("*").alias("m"), F.max(F.struct("weight", "node")).alias("top"))
+        bands_left = by_label.groupBy("band").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("labels"), F.max("top").alias("top"))
         bands_left = written(bands_left.filter("labels > 1"), "bands-left")
         size, pairs = bands_left.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("same")) / 2)).first()
         if not size:
             break
         last = pairs <= PAIRS_PER_ROW * size
-        is_leader = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(leaders)), "size") < leaders - 1)
+        is_leader = (F.col("node") == F.col("top.node")) | (F.pmod(F.xxhash64("node", F.lit(leaders)), "size") < leaders - 1)
         left = left.join(bands_left, "band").withColumn("is_leader", F.lit(True) if last else is_leader)
-        left = written(left.select("band", "node", "n", "label", "is_leader"), "band-rows")
+        left = written(left.select("band", "node", "n", "weight", "label", "is_leader"), "band-rows")
         heads = left.filter("is_leader").select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
         rest = left.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("is_leader").alias("leader_b"))
         met = heads.join(rest, "band").filter("label_a != label_b and (not leader_b or a < b)")
@@ -210,7 +214,7 @@ def near_duplicates(
         # Linked to one leader is in one component; chains of leaders are left to the end.
         joined = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("joined"))
         left = left.filter("not is_leader").drop("is_leader").join(joined, "node", "left")
-        left = left.select("band", "node", "n", F.coalesce("joined", "label").alias("label"))
+        left = left.select("band", "node", "n", "weight", F.coalesce("joined", "label").alias("label"))
         leaders *= 2
     if links is None:
         links = written(_linked(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), wanted, sets, percent), "links")
