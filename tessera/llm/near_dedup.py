@@ -15,10 +15,14 @@ Exact check: candidates are compared on their full shingle sets, read from the t
 Large groups: only components matter, so not all pairs of a band are compared. Texts with
 one shingle set are one node. In a band, the node that meets most others in all its bands -
 the text that a group's copies were made from, say - is compared with the rest; those found
-linked join its component. What is left - pairs in different components that no comparison has settled - is
-small for groups of copies; while it isn't, more leaders are taken from each band, twice as
-many in every round, and at last all pairs left are compared. Every pair that shares a band
-thus ends up compared, or linked to one leader.
+linked join its component, and so do those that several leaders link in turn. What is left -
+pairs in different components that no comparison has settled - is small for groups of copies;
+while it isn't, those texts are grouped by their rarest shingles instead of bands (a prefix
+filter, which loses no pair), more leaders are taken from each group, several times as many
+in every round, and at last all pairs left are weighed: those of other labels than a group's most frequent one with
+all others. Every pair that shares two bands
+thus ends up compared, or in one component, or is known to share too few shingles. Copies too
+far from all others, however many, are set apart by their rare shingles and not compared.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -38,6 +42,10 @@ from tessera.llm.scratch import small, written
 
 #: Pairs left for each row left in a band, up to which all are compared at once.
 PAIRS_PER_ROW = 0.5
+#: The same once groups are those of rare shingles, where few of the pairs weighed are compared.
+WEIGHED_PER_ROW = 1000
+#: Times as many leaders in each round.
+MORE_LEADERS = 4
 #: Bands that two sets must share to be compared.
 LEAST_BANDS = 2
 
@@ -131,6 +139,32 @@ def _comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(shared, pa.int64())], ["a", "b", "n_a", "n_b", "shared"])
 
 
+def _set_lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, bounds = text_buffers(batch.column(1))
+        lists = pa.ListArray.from_arrays(pa.array((bounds // 8).astype(np.int32)), pa.array(data.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "hashes"])
+
+
+def _rarest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """band, node, n, k, weight, label: the nodes of ``left`` by their rarest shingles.
+
+    A node's shingles are ordered by how many nodes of ``left`` have them. If the first
+    shingle that two nodes share stands at place ``n - k`` of each one's order, they share
+    no more than the smaller k; rows whose k is too small for any partner leave.
+    """
+    nodes = left.groupBy("node").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("label").alias("label"))
+    nodes = written(nodes, "nodes-left")
+    own = sets.join(small(nodes.select("node")), "node").mapInArrow(_set_lister, "node long, hashes array<long>")
+    shingles = written(own, "shingles-left").select("node", F.explode("hashes").alias("band"))
+    several = shingles.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
+    order = Window.partitionBy("node")
+    met = shingles.join(several, "band").withColumn("m", F.count("*").over(order)).withColumn("place", F.row_number().over(order.orderBy("c", "band")))
+    # shingles of one node only come first; of the m others, those up to this one are behind it
+    met = met.select("band", "node", (F.col("m") - F.col("place") + 1).cast("int").alias("k")).join(nodes, "node")
+    return met.filter(100 * F.col("k") >= percent * F.col("n")).select("band", "node", "n", "k", "weight", "label")
+
+
 @dataclass
 class NearDuplicates:
     """documents: doc_id, n_shingles, component_id, kept. links: compared pairs of nodes that are linked."""
@@ -159,6 +193,12 @@ def _linked(pairs: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -
     return met.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
+def _mixed(left: DataFrame) -> DataFrame:
+    """The rows of bands that hold more than one label."""
+    several = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
+    return left.join(several, "band", "left_semi")
+
+
 def near_duplicates(
     docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 64, rows: int = 7, key: str = "doc_id", text: str = "text"
 ) -> NearDuplicates:
@@ -190,32 +230,34 @@ def near_duplicates(
     # How many rows a node meets in its bands: most for the centre of a group of copies.
     sizes = members.groupBy("band").agg(F.count("*").alias("met"))
     weights = members.join(sizes, "band").groupBy("node").agg(F.sum("met").alias("weight"))
-    left = members.join(weights, "node").withColumn("label", F.col("node"))
+    left = members.join(weights, "node").select("*", F.col("n").alias("k"), F.col("node").alias("label"))
     links, leaders = None, 1
     while True:
         by_label = left.groupBy("band", "label").agg(F.count("*").alias("m"), F.max(F.struct("weight", "node")).alias("top"))
-        bands_left = by_label.groupBy("band").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("labels"), F.max("top").alias("top"))
+        bands_left = by_label.groupBy("band").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("labels"), F.max("top").alias("top"), F.max(F.struct("m", "label")).alias("most"))
         bands_left = written(bands_left.filter("labels > 1"), "bands-left")
         size, pairs = bands_left.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("same")) / 2)).first()
         if not size:
             break
-        last = pairs <= PAIRS_PER_ROW * size
+        last = pairs <= (PAIRS_PER_ROW if leaders == 1 else WEIGHED_PER_ROW) * size
         is_leader = (F.col("node") == F.col("top.node")) | (F.pmod(F.xxhash64("node", F.lit(leaders)), "size") < leaders - 1)
-        left = left.join(bands_left, "band").withColumn("is_leader", F.lit(True) if last else is_leader)
-        left = written(left.select("band", "node", "n", "weight", "label", "is_leader"), "band-rows")
-        heads = left.filter("is_leader").select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        rest = left.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("is_leader").alias("leader_b"))
+        left = left.join(bands_left, "band").withColumn("is_leader", F.col("label") != F.col("most.label") if last else is_leader)
+        left = written(left.select("band", "node", "n", "k", "weight", "label", "is_leader"), "band-rows")
+        heads = left.filter("is_leader").select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("label").alias("label_a"))
+        rest = left.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("label").alias("label_b"), F.col("is_leader").alias("leader_b"))
         met = heads.join(rest, "band").filter("label_a != label_b and (not leader_b or a < b)")
-        met = met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+        met = met.filter((100 + percent) * F.least("k_a", "k_b") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
         found = written(_linked(written(met, "pairs"), wanted, sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         if last:
             break
-        # Linked to one leader is in one component; chains of leaders are left to the end.
-        joined = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("joined"))
-        left = left.filter("not is_leader").drop("is_leader").join(joined, "node", "left")
-        left = left.select("band", "node", "n", "weight", F.coalesce("joined", "label").alias("label"))
-        leaders *= 2
+        # What this round has linked is one component from now on, whichever leaders linked it.
+        known = left.select(F.col("node").alias("a"), F.col("label").alias("b")).distinct()
+        joined = connected_components(found.select("a", "b").unionByName(known)).withColumnRenamed("label", "joined")
+        left = left.filter("not is_leader").join(joined, "node").select("band", "node", "n", "k", "weight", F.col("joined").alias("label"))
+        if leaders == 1:
+            left = _rarest(_mixed(left), sets, percent)
+        leaders *= MORE_LEADERS
     if links is None:
         links = written(_linked(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), wanted, sets, percent), "links")
     labels = connected_components(links)
