@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, near_dedup, packing, quality, repeats
-from tessera.llm.scratch import written
+from tessera.llm.scratch import small, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,12 +30,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8).
 
-    The one with the smallest doc_id stays; of rows that repeat its doc_id, one.
+    The one with the smallest doc_id stays, null last; rows that repeat its doc_id and text
+    stay once. A doc_id that several groups share, or null, costs none of them its document.
+    Documents without words all stay.
     """
     docs = docs.select(*COLUMNS)
-    found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80).documents
-    kept = found.filter("kept").select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_kept"))
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80)
+    kept = small(written(found.survivors, "survivors").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_key")))
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.filter(has_words).withColumn("text_key", repeats.text_key(F.col("text")))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("text_key") == F.col("_kept_key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS).unionByName(docs.filter(~has_words))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.hashing import mix, shingle_sets, slices, text_buffers
+from tessera.llm.repeats import text_key
 from tessera.llm.scratch import small, written
 
 #: Pairs left for each row left in a band, up to which all are compared at once.
@@ -102,8 +103,8 @@ def _sketcher(size: int, bands: int, rows: int) -> Callable:
                     keys = band_keys(sketch(hashes, np.concatenate(([0], np.cumsum(counts[full]))), bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts > 0) * bands)).astype(np.int32), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.arange(row, row + j - i)), pa.array(counts), pa.array(signatures(hashes, at), pa.binary()), lists],
-                    ["doc_id", "row", "n_shingles", "mark", "bands"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.arange(row, row + j - i)), pa.array(counts), pa.array(signatures(hashes, at), pa.binary()), lists],
+                    ["doc_id", "text_key", "row", "n_shingles", "mark", "bands"],
                 )
                 row += j - i
 
@@ -167,10 +168,14 @@ def _rarest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 @dataclass
 class NearDuplicates:
-    """documents: doc_id, n_shingles, component_id, kept. links: compared pairs of nodes that are linked."""
+    """documents: doc_id, n_shingles, component_id, kept. links: compared pairs of nodes that are linked.
+
+    survivors: doc_id, text_key (md5 of the text) of one document of each component with words.
+    """
 
     documents: DataFrame
     links: DataFrame
+    survivors: DataFrame
 
 
 def _side_by_side(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -212,19 +217,23 @@ def near_duplicates(
     empty table gives no rows. Other columns play no part.
     """
     rows_in = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, row long, n_shingles long, mark binary, bands array<long>"
-    sketched = written(rows_in.mapInArrow(_sketcher(shingle_words, bands, rows), schema), "sketches")
+    keyed = rows_in.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    schema = "doc_id long, text_key binary, row long, n_shingles long, mark binary, bands array<long>"
+    sketched = written(keyed.mapInArrow(_sketcher(shingle_words, bands, rows), schema), "sketches")
+    # The smallest key, null last; of texts that share it, the smallest text_key.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
     nodes = sketched.filter("mark is not null").groupBy("mark").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("row").alias("node"), first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     nodes = written(nodes, "nodes")
     banded = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
     members = written(banded.join(shared, "band").select("band", "node", "n"), "band-members")
 
-    wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "mark", "first_id", "bands"), "banded-nodes")
-    named = small(wanted.select("node", "mark", "first_id"))
-    source = rows_in.join(named, rows_in["doc_id"].eqNullSafe(named["first_id"])).select("node", "mark", "text")
+    wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "mark", "first", "bands"), "banded-nodes")
+    named = small(wanted.select("node", "mark", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")))
+    # By both: a key, or null, may stand at any number of texts.
+    source = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))).select("node", "mark", "text")
     sets = written(source.mapInArrow(_set_maker(shingle_words), "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
 
     # How many rows a node meets in its bands: most for the centre of a group of copies.
@@ -262,9 +271,10 @@ def near_duplicates(
         links = written(_linked(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), wanted, sets, percent), "links")
     labels = connected_components(links)
 
-    placed = sketched.select("doc_id", "n_shingles", "mark").join(nodes.select("mark", "node"), "mark", "left").join(labels, "node", "left")
+    placed = sketched.select("doc_id", "text_key", "n_shingles", "mark").join(nodes.select("mark", "node"), "mark", "left").join(labels, "node", "left")
     placed = placed.withColumn("group", F.coalesce("label", "node"))
     firsts = placed.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(firsts, "group", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     documents = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return NearDuplicates(documents, links)
+    survivors = placed.filter("group is not null").groupBy("group").agg(first.alias("at")).select("at.doc_id", "at.text_key")
+    return NearDuplicates(documents, links, survivors)
