@@ -51,6 +51,13 @@ def url_keys(url: Column) -> Column:
     return F.concat(host, suffixes, prefixes)
 
 
+def _pattern() -> Column:
+    """An entry's pattern as url_keys() writes it: hosts in lower case, paths as they are."""
+    whole = F.trim("pattern")
+    host = F.lower(F.regexp_extract(whole, "^([^/]*)", 1))
+    return F.when(F.col("kind") == "prefix", F.concat(host, F.regexp_extract(whole, "(?s)^[^/]*(.*)", 1))).otherwise(F.lower(whole))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """list_name, kind, pattern, since, until: the times at which a pattern was listed.
 
@@ -58,7 +65,7 @@ def validity(entries: DataFrame) -> DataFrame:
     holds until the next of its pattern; until is null for the last. At one time a removal
     outweighs an addition. Entries without list, kind, pattern or time count for nothing.
     """
-    named = entries.select("list_name", "kind", F.lower(F.trim("pattern")).alias("pattern"), "action", F.col("since").cast("timestamp_ntz").alias("since"))
+    named = entries.select("list_name", "kind", _pattern().alias("pattern"), "action", F.col("since").cast("timestamp_ntz").alias("since"))
     named = named.dropna()
     at_once = named.groupBy("list_name", "kind", "pattern", "since").agg(F.max(F.col("action") == "remove").alias("removed"))
     ahead = Window.partitionBy("list_name", "kind", "pattern").orderBy("since")

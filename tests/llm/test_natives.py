@@ -129,3 +129,12 @@ def test_url_filter_by_time(spark):
         assert (r.blocked, r.n_lists, r.first_list) == (bool(want), len(want), min(want, default=None)), r
     assert url_filter.filter_urls(made.limit(0), logs).count() == 0
     assert url_filter.filter_urls(made, logs.limit(0)).filter("blocked").count() == 0
+
+
+def test_url_prefix_with_capitals(spark):
+    day = dt.datetime(2024, 1, 1)
+    entries = [("paths", "prefix", " X.com/Ads", "add", day), ("hosts", "host", "Y.COM", "add", day), ("domains", "domain", "Z.Com", "add", day)]
+    urls = ["https://x.COM/Ads/1", "https://x.com/ads/1", "https://y.com/A", "https://a.z.com/A"]
+    made = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
+    logs = spark.createDataFrame(entries, "list_name string, kind string, pattern string, action string, since timestamp_ntz")
+    assert {r.page_id: r.first_list for r in url_filter.filter_urls(made, logs).collect()} == {0: "paths", 1: None, 2: "hosts", 3: "domains"}
