@@ -20,10 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path segments that a prefix pattern may have.
-SEGMENTS = 4
-
-
 def url_parts(url: Column) -> dict[str, Column]:
     """host (lower case, without user, port and trailing dot) and path (from the first slash)."""
     rest = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -33,8 +29,11 @@ def url_parts(url: Column) -> dict[str, Column]:
     return {"host": host, "path": F.when(path == "", F.lit("/")).otherwise(path)}
 
 
-def url_keys(url: Column) -> Column:
-    """All (kind, pattern) structs that can list a URL."""
+def url_keys(url: Column, segments_listed: int | None = None) -> Column:
+    """All (kind, pattern) structs that can list a URL.
+
+    ``segments_listed``, the most path segments of any prefix listed, spares longer ones.
+    """
     part = url_parts(url)
     labels = F.split(part["host"], r"\.")
     suffixes = F.transform(
@@ -42,7 +41,7 @@ def url_keys(url: Column) -> Column:
         lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")),
     )
     segments = F.filter(F.split(part["path"], "/"), lambda x: x != "")
-    n = F.least(F.size(segments), F.lit(SEGMENTS))
+    n = F.size(segments) if segments_listed is None else F.least(F.size(segments), F.lit(segments_listed))
     prefixes = F.transform(
         F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(part["host"], F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")).alias("pattern")),
@@ -87,12 +86,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id", u
     """
     rows = captures.select(F.col(key), F.col(url).alias("url"), F.col(fetched).cast("timestamp_ntz").alias("fetched_at"))
     spans = validity(entries)
+    longest = entries.filter("kind = 'prefix'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     newest = F.lit(rows.agg(F.max("fetched_at").cast("string")).first()[0]).cast("timestamp_ntz")
     last = F.least(F.coalesce(F.col("until"), newest), newest)
     months = spans.filter(F.col("since") <= newest)
     months = months.withColumn("month", F.explode(F.sequence(_month(F.col("since")), F.greatest(_month(F.col("since")), _month(last)))))
     asked = rows.filter(F.col("url").isNotNull() & F.col("fetched_at").isNotNull()).select("url", "fetched_at").distinct()
-    keyed = asked.withColumn("month", _month(F.col("fetched_at"))).withColumn("k", F.explode(F.array_distinct(url_keys(F.col("url")))))
+    keyed = asked.withColumn("month", _month(F.col("fetched_at"))).withColumn("k", F.explode(F.array_distinct(url_keys(F.col("url"), longest))))
     keyed = keyed.select("url", "fetched_at", "month", "k.kind", "k.pattern")
     active = keyed.join(months, ["kind", "pattern", "month"]).filter((F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
     verdict = active.groupBy(F.col("url").alias("_u"), F.col("fetched_at").alias("_t")).agg(F.countDistinct("list_name").alias("n_lists"), F.min("list_name").alias("first_list"))

@@ -138,3 +138,13 @@ def test_url_prefix_with_capitals(spark):
     made = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
     logs = spark.createDataFrame(entries, "list_name string, kind string, pattern string, action string, since timestamp_ntz")
     assert {r.page_id: r.first_list for r in url_filter.filter_urls(made, logs).collect()} == {0: "paths", 1: None, 2: "hosts", 3: "domains"}
+
+
+def test_url_prefix_of_many_segments(spark):
+    day = dt.datetime(2024, 1, 1)
+    path = "/".join(f"s{i}" for i in range(30))
+    entries = [("deep", "prefix", f"x.com/{path}", "add", day), ("five", "prefix", "y.com/a/b/c/d/e", "add", day)]
+    urls = [f"https://x.com/{path}/page", f"https://x.com/{path}0", "https://y.com/a/b/c/d/e", "https://y.com/a/b/c/d"]
+    made = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
+    logs = spark.createDataFrame(entries, "list_name string, kind string, pattern string, action string, since timestamp_ntz")
+    assert {r.page_id: r.first_list for r in url_filter.filter_urls(made, logs).collect()} == {0: "deep", 1: None, 2: "five", 3: None}
