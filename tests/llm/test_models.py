@@ -122,3 +122,16 @@ def test_image_copies(spark):
     assert groups == {**{i: i for i in [*range(12), 30, 31, 32]}, 20: 3, 21: 4, 22: 5}
     assert next(r for r in got if r.image_id is None).component_id == 0
     assert media.image_copies(spark.createDataFrame([], "image_id long, width int, height int, pixels binary")).count() == 0
+
+
+def test_copies_meet_among_unrelated_images(spark):
+    """In every table the bucket's first and last corners are of images that share that word by chance."""
+    rng = np.random.default_rng(8)
+    word = lambda: int(rng.integers(-(1 << 62), 1 << 62))
+    copy = [word() for _ in range(4)]
+    images = [[copy[i] if i == t else word() for i in range(4)] for t in range(4)]
+    images += [copy, copy[:], [copy[0] ^ 5, *copy[1:]]]
+    images += [[copy[i] if i == t else word() for i in range(4)] for t in range(4)]
+    rows = [(bytearray([i]), i * media.PLACES, 0.0, 0.0, 1.0, 0, bits) for i, bits in enumerate(images)]
+    got = media._matches(spark.createDataFrame(rows, media.CORNER)).collect()
+    assert sorted((r.l // media.PLACES, r.m // media.PLACES) for r in got) == [(4, 5), (4, 6), (5, 6)]
