@@ -1,31 +1,26 @@
-"""Vectorised 64-bit hashes of byte ranges, words and word shingles of many texts at once."""
+"""Vectorised 64-bit hashes of words, word shingles and byte windows of many texts at once.
+
+Bytes are read eight at a time and mixed one after another, so no two short words share a
+hash by the algebra of a sum; words of more than LONG bytes are hashed by blake2b.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
-_rng = np.random.Generator(np.random.PCG64(20240101))
-_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Longest word that is hashed eight bytes at a time.
+LONG = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n, kept for the next call."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Masks that keep the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,17 +30,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = sum of code[b] * BASE**k over bytes k in [i, j)."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data) + 1)[0][:-1], out=out[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """For every place the eight bytes from there on as a number; zeros follow the end."""
+    body = np.zeros(len(data) + 8, np.uint8)
+    body[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", body, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of each range [lo, hi) of bytes."""
+    at, length = eights(data), hi - lo
+    out = mix(length.astype(np.uint64) + np.uint64(1))
+    live = np.flatnonzero(length <= LONG)
+    for k in range(0, LONG, 8):
+        live = live[length[live] > k]
+        if not len(live):
+            break
+        part = at[lo[live] + k] & _FIRST[np.minimum(length[live] - k, 8)]
+        out[live] = mix(out[live] * _STEP + part)
+    for i in np.flatnonzero(length > LONG).tolist():
+        digest = hashlib.blake2b(data[lo[i] : hi[i]], digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 
-def range_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A hash of the bytes [lo, hi) that does not depend on where they stand."""
-    raw = (sums[hi] - sums[lo]) * powers(len(sums))[1][lo]
-    return mix(raw + (hi - lo).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """For every place with ``length`` bytes behind it (a multiple of 8) a hash of these bytes."""
+    n = len(data) - length + 1
+    at = eights(data)
+    out = np.zeros(n, np.uint64)
+    for k in range(0, length, 8):
+        out += at[k : k + n] * np.uint64((int(_STEP) * (2 * k + 1)) % (1 << 64))
+        out ^= out >> np.uint64(29)
+    return mix(out)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +85,14 @@ def slices(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]
         i = j
 
 
+#: Bytes of one text that are split into words at a time.
+AT_ONCE = 1 << 20
+
+
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all values (A-Z in lower case), and the len + 1 bounds by value."""
+    if len(data) > AT_ONCE and len(bounds) == 2:
+        return _words_of_long(data)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     solid = ~_SPACE[data]
@@ -80,7 +103,26 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     after[-1], after[:-1] = False, solid[1:]
     lo = np.flatnonzero(solid & (~before | cut[:-1]))
     hi = np.flatnonzero(solid & (~after | cut[1:])) + 1
-    return range_hash(prefix_sums(_LOWER[data]), lo, hi), np.searchsorted(lo, bounds)
+    return word_hashes(_LOWER[data], lo, hi), np.searchsorted(lo, bounds)
+
+
+def _words_of_long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of one long text, read in pieces that end behind white space."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + AT_ONCE, len(data))
+        while end < len(data):  # on to the next white space
+            gap = np.flatnonzero(_SPACE[data[end : end + AT_ONCE]])
+            end = end + int(gap[0]) if len(gap) else min(end + AT_ONCE, len(data))
+            if len(gap):
+                break
+        piece = data[at:end]
+        solid = np.concatenate(([False], ~_SPACE[piece], [False]))
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        parts.append(word_hashes(_LOWER[piece], edge[::2], edge[1::2]))
+        at = end
+    out = np.concatenate(parts)
+    return out, np.array([0, len(out)])
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +139,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.nd
     length = np.repeat(np.minimum(counts, size), full)
     for k in range(size):
         here = length > k
-        step = mix(out * np.uint64(0x9FB21C651E98DF25) + hashes[np.minimum(first + k, len(hashes) - 1)] + np.uint64(k)) if len(first) else out
+        step = mix(out * _STEP + hashes[np.minimum(first + k, len(hashes) - 1)] + np.uint64(k)) if len(first) else out
         out = np.where(here, step, out)
     out = np.where(length < size, mix(out + length.astype(np.uint64)), out) if len(first) else out
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):

@@ -7,8 +7,8 @@ a place with a probability of their Jaccard similarity, concentrated as for inde
 hash functions.
 
 Banding: ``bands`` groups of ``rows`` places are hashed; sets that share a band are
-candidates, and those that share two are compared. With 7 rows and 64 bands a pair at
-similarity 0.8 is missed with a probability of 5e-6, at 0.85 of 1e-9.
+candidates, and all candidates count. With 7 rows and 52 bands a pair at similarity 0.8 is
+missed with a probability of 5e-6, at 0.85 of 2e-9.
 
 Exact check: candidates are compared on their full shingle sets, read from the texts again.
 
@@ -19,9 +19,8 @@ linked join its component, and so do those that several leaders link in turn. Wh
 pairs in different components that no comparison has settled - is small for groups of copies;
 while it isn't, those texts are grouped by their rarest shingles instead of bands (a prefix
 filter, which loses no pair), more leaders are taken from each group, several times as many
-in every round, and at last all pairs left are weighed: those of other labels than a group's most frequent one with
-all others. Every pair that shares two bands
-thus ends up compared, or in one component, or is known to share too few shingles. Copies too
+in every round, and at last all pairs left are weighed: those of other labels than a group's
+most frequent one with all others. Every pair that shares a band thus ends up compared, or in one component, or is known to share too few shingles. Copies too
 far from all others, however many, are set apart by their rare shingles and not compared.
 """
 
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import connected_components
 from tessera.llm.hashing import mix, shingle_sets, slices, text_buffers
 from tessera.llm.repeats import text_key
-from tessera.llm.scratch import small, written
+from tessera.llm.scratch import bounded_batches, small, written
 
 #: Pairs left for each row left in a band, up to which all are compared at once.
 PAIRS_PER_ROW = 0.5
@@ -47,8 +46,6 @@ PAIRS_PER_ROW = 0.5
 WEIGHED_PER_ROW = 1000
 #: Times as many leaders in each round.
 MORE_LEADERS = 4
-#: Bands that two sets must share to be compared.
-LEAST_BANDS = 2
 
 
 def sketch(hashes: np.ndarray, bounds: np.ndarray, places: int) -> np.ndarray:
@@ -186,15 +183,9 @@ def _side_by_side(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame
     return of_b.join(heads, "a").select("a", "b", "a_side", "b_side")
 
 
-def _linked(pairs: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough: a, b, n_a, n_b, shared.
-
-    Sets that agree in one band only are not compared: at similarity 0.8 that happens to one
-    pair in 200,000.
-    """
-    near = _side_by_side(pairs, bands, "bands").filter(F.size(F.array_intersect("a_side", "b_side")) >= LEAST_BANDS)
-    near = written(near.select("a", "b"), "near-pairs")
-    met = _side_by_side(near, sets, "hashes").mapInArrow(_comparer, "a long, b long, n_a long, n_b long, shared long")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough: a, b, n_a, n_b, shared."""
+    met = _side_by_side(pairs, sets, "hashes").mapInArrow(_comparer, "a long, b long, n_a long, n_b long, shared long")
     return met.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
@@ -205,7 +196,7 @@ def _mixed(left: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 64, rows: int = 7, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 52, rows: int = 7, key: str = "doc_id", text: str = "text"
 ) -> NearDuplicates:
     """Components of documents linked by ``100 * |A & B| >= percent * |A | B|``.
 
@@ -216,6 +207,7 @@ def near_duplicates(
     keys never name a component that has another key; repeated rows share all results; an
     empty table gives no rows. Other columns play no part.
     """
+    bounded_batches(docs.sparkSession)
     rows_in = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     keyed = rows_in.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     schema = "doc_id long, text_key binary, row long, n_shingles long, mark binary, bands array<long>"
@@ -230,7 +222,7 @@ def near_duplicates(
     shared = banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
     members = written(banded.join(shared, "band").select("band", "node", "n"), "band-members")
 
-    wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "mark", "first", "bands"), "banded-nodes")
+    wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "mark", "first"), "banded-nodes")
     named = small(wanted.select("node", "mark", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")))
     # By both: a key, or null, may stand at any number of texts.
     source = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))).select("node", "mark", "text")
@@ -256,7 +248,7 @@ def near_duplicates(
         rest = left.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("label").alias("label_b"), F.col("is_leader").alias("leader_b"))
         met = heads.join(rest, "band").filter("label_a != label_b and (not leader_b or a < b)")
         met = met.filter((100 + percent) * F.least("k_a", "k_b") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
-        found = written(_linked(written(met, "pairs"), wanted, sets, percent), "links")
+        found = written(_linked(written(met, "pairs"), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         if last:
             break
@@ -268,7 +260,7 @@ def near_duplicates(
             left = _rarest(_mixed(left), sets, percent)
         leaders *= MORE_LEADERS
     if links is None:
-        links = written(_linked(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), wanted, sets, percent), "links")
+        links = written(_linked(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), sets, percent), "links")
     labels = connected_components(links)
 
     placed = sketched.select("doc_id", "text_key", "n_shingles", "mark").join(nodes.select("mark", "node"), "mark", "left").join(labels, "node", "left")

@@ -4,14 +4,20 @@ The network reads bytes, no words or tokens:
 
 * filters: ``FILTERS`` learned filters of ``WIDTH`` bytes slide over every byte (each is a
   sum of one table row per byte), with a rectifier;
-* echoes: for each distance up to ``LAGS``, whether a byte equals the one so far back;
+* echoes: for each distance up to ``LAGS``, whether a byte equals the one so far back - a
+  product of a byte with its past, which no sum over ``WIDTH`` bytes can state; how much each
+  distance weighs is learned in the hidden units;
 * chunks: both are averaged over chunks of ``2 * BLOCK`` bytes that overlap by half and
   cover the whole document;
 * hidden units, learned over a chunk's averages, with a rectifier;
 * max-pooling of each hidden unit over all chunks, and a logistic output.
 
 It is trained with Adam on a bounded sample of labelled rows on the driver (``ROWS`` rows
-and ``BYTES`` bytes at most); scoring runs in Spark's tasks over slices of whole documents.
+and ``BYTES`` bytes at most); scoring runs in Spark's tasks over slices of whole documents,
+a document of more than ``LONG`` bytes in pieces whose maxima meet.
+
+Why the echoes: without them, on the rows held out of 100,000 x 0.1 documents, the area under
+the curve falls from 0.9992 to 0.9866, and texts of a few words said over and over pass.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import slices, text_buffers
+from tessera.llm.scratch import bounded_batches
 
 FILTERS, WIDTH, HIDDEN, LAGS, BLOCK = 16, 4, 24, 40, 64
 #: The training sample: rows and bytes at most.
@@ -32,6 +39,8 @@ ROWS, BYTES = 2000, 6 << 20
 #: Passes over the sample and, for small samples, batches at least.
 EPOCHS, STEPS, BATCH, RATE = 6, 320, 32, 0.01
 PAD = 256
+#: Bytes scored at once, about; longer documents are read in pieces.
+LONG = 1 << 17
 
 
 def padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +109,32 @@ class Network:
         chunk /= 2 * BLOCK
         return chunk
 
+    def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden units of every chunk, and each document's first one."""
+        x, blocks = padded(data, bounds)
+        return np.maximum(self.chunks(x, blocks) @ self.hidden + self.hidden_bias, 0), blocks
+
+    def pooled_long(self, data: np.ndarray) -> np.ndarray:
+        """The maxima of one document's hidden units, a piece of about LONG bytes after another.
+
+        A piece has a block more at either end, so that its chunks see what they see in the whole.
+        """
+        total, per = (len(data) + LAGS + BLOCK - 1) // BLOCK, LONG // BLOCK
+        best = np.zeros((1, HIDDEN), np.float32)
+        for first in range(0, total, per):
+            last, skip = min(first + per, total), int(first > 0)
+            body = data[(first - skip) * BLOCK : (last + 1) * BLOCK + WIDTH]
+            units, _ = self.units(body, np.array([0, len(body)]))
+            best = np.maximum(best, units[skip : skip + last - first].max(axis=0))
+        return best
+
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The probability of label 1 for each document; the bytes of all documents at once."""
-        x, blocks = padded(data, bounds)
-        units = np.maximum(self.chunks(x, blocks) @ self.hidden + self.hidden_bias, 0)
-        pooled = np.maximum.reduceat(units, blocks[:-1], axis=0)
+        if len(bounds) == 2 and len(data) > LONG:
+            pooled = self.pooled_long(data)
+        else:
+            units, blocks = self.units(data, bounds)
+            pooled = np.maximum.reduceat(units, blocks[:-1], axis=0)
         return 1 / (1 + np.exp(-(pooled @ self.out + self.out_bias[0]).astype(np.float64)))
 
     def gradients(self, data: np.ndarray, bounds: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -171,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Train on a sample of the labelled rows that are not held out, half of each label.
 
     The sample is the first ``rows`` / 2 of each label in the order of a hash of the key, as
-    far as their texts fit into ``most_bytes``. None without rows of both labels. Null labels
-    and keys are not learned from.
+    far as their texts fit into ``most_bytes``; a text of more than an eighth of that is not
+    learned from. None without rows of both labels. Null labels and keys are not learned from.
     """
     usable = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     usable = usable.filter(F.col("key").isNotNull() & ~is_held_out(F.col("key")) & F.col("label").isin(0, 1)).distinct()
@@ -199,7 +229,7 @@ def _scorer(net: Network | None) -> Callable:
             data, bounds = text_buffers(batch.column(batch.num_columns - 1))
             out = np.full(batch.num_rows, 0.5)
             if net is not None:
-                for i, j in slices(bounds, 1 << 17):
+                for i, j in slices(bounds, LONG):
                     out[i:j] = net.scores(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])
 
@@ -210,8 +240,13 @@ def score(docs: DataFrame, net: Network | None, keep: list[str], text: str = "te
     """The columns ``keep``, score and predicted (1 from ``threshold`` on) of every document.
 
     Only the text is scored. Null and empty texts are one chunk without bytes; any length is
-    read whole; without a network every score is 0.5; an empty table gives no rows.
+    read whole; without a network every score is 0.5; an empty table gives no rows. Null keys
+    are kept like others and repeated rows stay apart, with equal scores. A kept column may
+    not be named score or predicted.
     """
+    if {"score", "predicted"} & set(keep):
+        raise ValueError("a kept column may not be named score or predicted")
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     scored = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_scorer(net), f"{schema}, score double")

@@ -8,36 +8,44 @@ steps find all such strings without comparing documents with each other:
    windows with one pick form a unit, and only units with equal picks can share a window.
 2. Candidates. Units are counted by their pick's hash; the others are unique text and leave.
    Equal units become one with a count.
-3. Index family, in each task for the picks dealt to it. A batch of units gets a suffix array:
-   the suffixes from the picks on, sorted, so that those with one pick form a run. The batch is
-   merge-scanned against the existing levels; in a run, longest common prefixes of suffixes
-   and longest common suffixes of what stands before them tell which windows are equal. Then
-   the batch becomes a level, and levels of equal size class merge, so n batches make about
-   log n levels.
+3. Index family, in each task for the picks dealt to it. A batch of units gets a (sparse) suffix
+   array: the suffixes from the picks on, sorted, so that those with one pick form a run. One
+   merge scan goes over the batch and all levels; in a run that the batch adds to, longest common
+   prefixes of suffixes and longest common suffixes of what stands before them tell which
+   windows are equal. Then the batch becomes a level, and levels of equal size class merge, so n
+   batches make about log n levels. The number of tasks follows the number of units.
 4. Equal windows go back to their documents, are united into spans, and are cut.
 
 Identical documents collapse in step 2, and so do copies of a passage with the same
-surroundings; counts travel, rows don't multiply.
+surroundings; counts travel, rows don't multiply. A pick with more than ``HOT`` different units
+(a passage with other surroundings in every document) would not fit one task's index: its
+windows are dealt out by their own digests instead and counted, so that the class of equal
+windows is the key and is summed before it is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import heapq
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import mix, prefix_sums, range_hash, slices, text_buffers
-from tessera.llm.scratch import small, written
+from tessera.llm.hashing import mix, slices, text_buffers, window_hashes
+from tessera.llm.scratch import bounded_batches, small, written
 
 GRAM = 32
-#: Units in a batch of the index family.
-BATCH = 1 << 14
+#: Bytes looked at at once, about, and the bits that number places in them and a little more.
+AT_ONCE, PLACE_BITS = 1 << 19, 22
+#: Units in a batch of the index family, and in one task's family, about.
+BATCH, UNITS_PER_TASK = 1 << 14, 1 << 17
+#: Different units of one pick up to which the family compares them.
+HOT = 1 << 13
 
 
 def units(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -50,11 +58,9 @@ def units(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray
     empty = np.zeros(0, np.int64)
     if n < length:
         return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty
-    sums = prefix_sums(data)
     at = np.arange(n - GRAM + 1)
-    grams = range_hash(sums, at, at + GRAM)
-    bits = np.uint64(max(1, int(n - 1).bit_length()))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
+    grams = window_hashes(data, GRAM)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
     # Smallest of each `span` neighbours: minima from both ends of blocks. The place is in
     # the low bits, so the leftmost of equal hashes wins in every document alike.
     full = -(-len(grams) // span) * span
@@ -76,17 +82,37 @@ def units(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray
     first, windows = first[real], windows[real]
     pick, owner = pick[first], owner[first]
     shift = pick - first
-    prints = mix(range_hash(sums, first, first + windows - 1 + length) + shift.astype(np.uint64))
-    return grams[pick], prints, first - bounds[owner], windows, shift, owner
+    return grams[pick], _prints(grams, first, windows - 1 + length, shift), first - bounds[owner], windows, shift, owner
+
+
+def _prints(grams: np.ndarray, first: np.ndarray, size: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """A hash of ``size`` bytes from ``first`` on, made of the hashes of GRAM bytes after GRAM bytes."""
+    step = np.uint64(0xD1342543DE82EF95)
+    out = mix(size.astype(np.uint64) * step + shift.astype(np.uint64))
+    for k in range(0, int(size.max(initial=0)) - GRAM + 1, GRAM):
+        live = np.flatnonzero(size >= k + GRAM)
+        out[live] = mix(out[live] * step + grams[first[live] + k])
+    return mix(out * step + grams[first + size - GRAM])
+
+
+def units_of_long(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """units() of one long text, from pieces that share ``length - 1`` bytes with the next one."""
+    parts = []
+    for lo in range(0, len(data) - length + 1, AT_ONCE):
+        body = data[lo : lo + AT_ONCE + length - 1]
+        pick, prints, first, windows, shift, owner = units(body, np.array([0, len(body)]), length)
+        parts.append((pick, prints, first + lo, windows, shift, owner))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _unit_finder(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_buffers(batch.column(0))
-            for i, j in slices(bounds, 1 << 19):
+            for i, j in slices(bounds, AT_ONCE):
                 body, ends = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-                pick, prints, first, windows, shift, owner = units(body, ends, length)
+                found = units(body, ends, length) if len(body) <= 2 * AT_ONCE else units_of_long(body, length)
+                pick, prints, first, windows, shift, owner = found
                 raw = body.tobytes()
                 keys = [hashlib.md5(raw[a:b]).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 offsets = pa.array(np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32))
@@ -136,13 +162,14 @@ def common_prefix(a: bytes, b: bytes) -> int:
 class Unit:
     """A unit's suffix from its pick on, what stands before it (reversed), and its found windows."""
 
-    __slots__ = ("after", "before", "found", "label")
+    __slots__ = ("after", "before", "found", "fresh", "label")
 
     def __init__(self, label: tuple[int, int], body: bytes, shift: int, windows: int, repeated: bool):
         self.label = label
         self.after = body[shift:]
         self.before = body[:shift][::-1]
         self.found = np.full(windows, repeated)
+        self.fresh = True
 
 
 def match_run(run: list[Unit], length: int) -> None:
@@ -184,6 +211,9 @@ def match_run(run: list[Unit], length: int) -> None:
             run[u].found[most[u] - i] = True
 
 
+_after = attrgetter("after")
+
+
 class IndexFamily:
     """Levels of sorted suffixes whose sizes grow geometrically."""
 
@@ -192,23 +222,18 @@ class IndexFamily:
         self.levels: list[list[Unit]] = []
 
     def add(self, batch: list[Unit]) -> None:
-        batch.sort(key=lambda u: u.after)  # the batch's suffix array
-        keys = [[u.after for u in level] for level in self.levels]
-        for pick, run in groupby(batch, key=lambda u: u.after[:GRAM]):
+        batch.sort(key=_after)  # the batch's suffix array
+        scan = heapq.merge(batch, *self.levels, key=_after) if self.levels else batch
+        for _, run in groupby(scan, key=lambda u: u.after[:GRAM]):
             met = list(run)
-            for level, sorted_keys in zip(self.levels, keys, strict=True):
-                i = bisect_left(sorted_keys, pick)
-                while i < len(level) and sorted_keys[i].startswith(pick):
-                    met.append(level[i])
-                    i += 1
-            if len(met) > 1:
-                met.sort(key=lambda u: u.after)
+            if len(met) > 1 and any(u.fresh for u in met):
                 match_run(met, self.length)
+        for u in batch:
+            u.fresh = False
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             top = self.levels.pop()
-            self.levels[-1] += top  # two sorted runs: the sort merges them
-            self.levels[-1].sort(key=lambda u: u.after)
+            self.levels[-1] = list(heapq.merge(self.levels[-1], top, key=_after))
 
 
 def _indexer(length: int) -> Callable:
@@ -236,6 +261,39 @@ def _indexer(length: int) -> Callable:
     return run
 
 
+def _window_lister(length: int) -> Callable:
+    """Every window of the units wanted of each text, with a digest of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["pick", "print", "at", "n", "key"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for batch in batches:
+            for text, wanted in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+                text = text.as_py()
+                for w in wanted:
+                    m, first = w["windows"], w["first"]
+                    keys = [hashlib.blake2b(text[k : k + length], digest_size=16).digest() for k in range(first, first + m)]
+                    columns = [[w["pick"]] * m, [w["print"]] * m, range(m), [w["n"]] * m, keys]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    return run
+
+
+def _hot_matches(docs: DataFrame, text: str, distinct: DataFrame, length: int) -> DataFrame:
+    """What the index family gives, for units of picks that have too many: by counting equal windows."""
+    wanted = written(_by_text(distinct), "hot-units")
+    read = _bodies(docs, text, wanted).join(wanted, "text_key").select("text", "wanted")
+    windows = written(read.mapInArrow(_window_lister(length), "pick long, print long, at int, n long, key binary"), "hot-windows")
+    repeated = written(windows.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"), "hot-repeats")
+    found = windows.join(small(repeated), "key").groupBy("pick", "print").agg(F.collect_set("at").alias("at"))
+    edge = lambda step: F.array_sort(F.filter("at", lambda i: ~F.array_contains("at", i + step)))
+    return found.select("pick", "print", edge(-1).alias("lo"), F.transform(edge(1), lambda i: i + 1).alias("hi"))
+
+
+def _by_text(distinct: DataFrame) -> DataFrame:
+    unit = F.struct("pick", "print", "n", "at.first", "at.windows", "at.shift")
+    return distinct.groupBy("at.text_key").agg(F.collect_list(unit).alias("wanted"))
+
+
 def text_key(text: Column) -> Column:
     """md5 of a text's bytes; null is the empty text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -255,20 +313,27 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text") -> Da
 
     ``spans`` (array of struct lo, hi) are as found: they may touch or overlap.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     arrays = "text_key binary, pick array<long>, print array<long>, first array<int>, windows array<int>, shift array<int>"
     found = written(texts.mapInArrow(_unit_finder(length), arrays), "units")
-    counts = found.select(F.explode("pick").alias("pick")).groupBy("pick").agg(F.count("*").alias("n")).filter("n > 1").select("pick")
+    # Written, so that a join with it is dealt out anew and Spark can split a hot pick.
+    shared = found.select(F.explode("pick").alias("pick")).groupBy("pick").agg(F.count("*").alias("n")).filter("n > 1").select("pick")
+    shared = written(shared, "shared-picks")
     unit = F.explode(F.arrays_zip("pick", "print", "first", "windows", "shift")).alias("u")
     single = found.select("text_key", unit).select("text_key", "u.*")
-    candidates = written(single.join(counts, "pick"), "unit-candidates")
+    candidates = written(single.join(small(shared), "pick"), "unit-candidates")
     where = F.struct("text_key", "first", "windows", "shift")
-    distinct = candidates.groupBy("pick", "print").agg(F.count("*").alias("n"), F.min(where).alias("at"))
-    wanted = distinct.groupBy("at.text_key").agg(F.collect_list(F.struct("pick", "print", "n", "at.first", "at.windows", "at.shift")).alias("wanted"))
-    wanted = written(wanted, "units-wanted")
+    distinct = written(candidates.groupBy("pick", "print").agg(F.count("*").alias("n"), F.min(where).alias("at")), "units-distinct")
+    hot = written(distinct.groupBy("pick").agg(F.count("*").alias("units")).filter(F.col("units") > HOT).select("pick"), "hot-picks")
+    any_hot = hot.count() > 0
+    cold = distinct.join(small(hot), "pick", "left_anti") if any_hot else distinct
+    wanted = written(_by_text(cold), "units-wanted")
     read = _bodies(docs, text, wanted).join(wanted, "text_key").select("text", "wanted").mapInArrow(_unit_reader(length), "pick long, print long, shift int, n long, body binary")
-    dealt = read.repartition("pick")
-    matched = dealt.mapInArrow(_indexer(length), "pick long, print long, lo array<int>, hi array<int>")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() // UNITS_PER_TASK + 1)
+    matched = read.repartition(tasks, "pick").mapInArrow(_indexer(length), "pick long, print long, lo array<int>, hi array<int>")
+    if any_hot:
+        matched = matched.unionByName(_hot_matches(docs, text, distinct.join(small(hot), "pick"), length))
     spans = candidates.select("text_key", "pick", "print", "first").join(matched, ["pick", "print"])
     spans = spans.select("text_key", F.explode(F.arrays_zip("lo", "hi")).alias("s"), "first")
     spans = spans.select("text_key", F.struct((F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi") + (length - 1)).alias("hi")).alias("span"))
@@ -306,6 +371,7 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
 
     ``kept_text`` leaves out the parts of characters that a cut has split.
     """
+    bounded_batches(docs.sparkSession)
     joined = _bodies(docs, text, spans).join(spans, "text_key").select("text_key", "text", "spans")
     return joined.mapInArrow(_cutter, "text_key binary, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 

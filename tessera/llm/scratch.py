@@ -44,13 +44,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers up to which a written table is sent to all executors.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a written table is sent to all executors.
+BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table of narrow rows, to be broadcast if it has BROADCAST_ROWS at most."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a written table of numbers and digests, to be broadcast if it has BROADCAST_BYTES at most.
+
+    A column of such a table takes 16 bytes.
+    """
+    return F.broadcast(df) if df.count() * 16 * len(df.columns) <= BROADCAST_BYTES else df
+
+
+#: Bytes of texts in one Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets this session's Arrow batches end at BATCH_BYTES where it has Spark's default of 64 MiB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def remove(spark: SparkSession, path: str) -> None:

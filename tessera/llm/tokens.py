@@ -13,13 +13,15 @@ import re
 
 import numpy as np
 
-#: Words kept per Python worker, and the longest word kept.
-STORED_WORDS = 600_000
+#: Bytes of words and their ids kept per Python worker, about, and the longest word kept.
+STORED_BYTES = 48 << 20
 LONGEST_STORED = 64
+#: What Python's own objects take for a word besides its characters and ids.
+_OVERHEAD = 190
 #: A character that is a token of its own between spaces; words that hold it go alone.
 MARK = "\x01"
 #: Characters that str.split takes for white space and Unicode does not.
-_NOT_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Unicode white space.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Characters of new words sent to the library at once.
@@ -37,6 +39,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.stored: dict[str, bytes] = {}
+        self.room = STORED_BYTES
         mark = self._alone(MARK)
         if len(mark) != 4:
             raise ValueError(f"{path} has no single token for the mark between words")
@@ -81,9 +84,10 @@ class WordEncoder:
                 batch, size = [], 0
         if batch:
             self._learn(batch, fresh)
-        room = STORED_WORDS - len(stored)
-        if len(fresh) <= room:
-            stored.update((w, b) for w, b in fresh.items() if len(w) <= LONGEST_STORED)
+        if self.room > 0:
+            kept = {w: b for w, b in fresh.items() if len(w) <= LONGEST_STORED}
+            stored.update(kept)
+            self.room -= sum(len(w) + len(b) + _OVERHEAD for w, b in kept.items())
         out = []
         for words in split:
             try:
