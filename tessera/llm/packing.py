@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import written
+from tessera.llm.scratch import bounded_batches, written
 from tessera.llm.tokens import WordEncoder
 
 
@@ -184,6 +184,7 @@ def pack(
     repeated rows are documents like others; an empty table gives no rows. Keys are whole
     numbers; other columns play no part.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = PIECES + (", ids binary" if keep_ids else "")
     pieces = written(rows.mapInArrow(_cutter(tokenizer, end_id, capacity, keep_ids), schema), "pieces")

@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Bytes of words and their ids kept per Python worker, about, and the longest word kept.
-STORED_BYTES = 48 << 20
+STORED_BYTES = 112 << 20
 LONGEST_STORED = 64
 #: What Python's own objects take for a word besides its characters and ids.
 _OVERHEAD = 190
@@ -24,12 +24,21 @@ MARK = "\x01"
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Unicode white space.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Characters of new words sent to the library at once.
-_AT_ONCE = 1 << 16
+#: Characters of new words sent to the library at once; its time a word grows with their number.
+_AT_ONCE = 1 << 13
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+class _Store(dict):
+    """Ids by word; what it has no room for is looked up among the words of the call."""
+
+    fresh: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+
 class WordEncoder:
     """ids(text) for one tokenizer file, as little-endian unsigned 32-bit integers."""
 
@@ -38,8 +47,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.stored: dict[str, bytes] = {}
+        self.stored = _Store()
         self.room = STORED_BYTES
+        # Where the library lowers case anyway, A-Z are lowered first: fewer different words.
+        self.lowers = '"type":"Lowercase"' in self.tokenizer.to_str()
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         mark = self._alone(MARK)
         if len(mark) != 4:
             raise ValueError(f"{path} has no single token for the mark between words")
@@ -63,11 +75,17 @@ class WordEncoder:
             into[word] = raw[lo:hi]
             lo = hi + 4
 
+    def _lowered(self, text: str) -> str:
+        """``text`` with A-Z lowered, unless that could change its ids or make a special token."""
+        if not self.lowers:
+            return text
+        low = text.encode().lower().decode()
+        return text if any(s in low for s in self.special) else low
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for null, empty or blank ones."""
-        split = [
-            [] if not t else [w for w in _SPACE.split(t) if w] if _NOT_SPACE.search(t) else t.split() for t in texts
-        ]
+        texts = [self._lowered(t) if t else "" for t in texts]
+        split = [[w for w in _SPACE.split(t) if w] if _NOT_SPACE.search(t) else t.split() for t in texts]
         stored, fresh = self.stored, {}
         missing: set[str] = set()
         for words in split:
@@ -88,10 +106,7 @@ class WordEncoder:
             kept = {w: b for w, b in fresh.items() if len(w) <= LONGEST_STORED}
             stored.update(kept)
             self.room -= sum(len(w) + len(b) + _OVERHEAD for w, b in kept.items())
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(stored.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([stored.get(w) or fresh.get(w, b"") for w in words]))
+        stored.fresh = fresh
+        out = [b"".join(map(stored.__getitem__, words)) for words in split]
+        stored.fresh = {}
         return out
