@@ -30,15 +30,6 @@ _AT_ONCE = 1 << 13
 _encoders: dict[str, WordEncoder] = {}
 
 
-class _Store(dict):
-    """Ids by word; what it has no room for is looked up among the words of the call."""
-
-    fresh: dict[str, bytes]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.fresh[word]
-
-
 class WordEncoder:
     """ids(text) for one tokenizer file, as little-endian unsigned 32-bit integers."""
 
@@ -47,7 +38,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.stored = _Store()
+        self.stored: dict[str, bytes] = {}
         self.room = STORED_BYTES
         # Where the library lowers case anyway, A-Z are lowered first: fewer different words.
         self.lowers = '"type":"Lowercase"' in self.tokenizer.to_str()
@@ -102,11 +93,11 @@ class WordEncoder:
                 batch, size = [], 0
         if batch:
             self._learn(batch, fresh)
-        if self.room > 0:
-            kept = {w: b for w, b in fresh.items() if len(w) <= LONGEST_STORED}
-            stored.update(kept)
-            self.room -= sum(len(w) + len(b) + _OVERHEAD for w, b in kept.items())
-        stored.fresh = fresh
+        stored.update(fresh)
         out = [b"".join(map(stored.__getitem__, words)) for words in split]
-        stored.fresh = {}
+        for word, ids in fresh.items():
+            if self.room > 0 and len(word) <= LONGEST_STORED:
+                self.room -= len(word) + len(ids) + _OVERHEAD
+            else:
+                del stored[word]
         return out
