@@ -7,9 +7,10 @@
    that add up to the mix.
 3. Shards: a source's quota is split over its shards in proportion to their words, by
    differences of rounded running sums, so shard quotas are integers that add up.
-4. Selection: inside a shard, documents are laid out in seeded order and their words
-   form one ring of blocks. A quota takes whole turns and then the run of blocks from a
-   seeded start. Nothing is drawn at run time: reruns agree.
+4. Selection: inside a shard, documents are laid out in seeded order (by a digest of key and
+   text, so that one key or null spreads over shards) and their words form one ring of blocks.
+   A quota takes whole turns and then the run of blocks from a seeded start. Nothing is drawn
+   at run time: reruns agree.
 
 Only DataFrame functions are used. One source may hold any share of the rows: its
 shards, whose number follows its size, keep every window small.
@@ -42,6 +43,12 @@ def hex_number(text: Column, digits: int = 12) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
+def draw(key: Column, text: Column, seed: str) -> Column:
+    """What decides a document's shard and place: md5 of seed, key and the md5 of its text."""
+    body = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), body))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], scale: float, max_repeat: float) -> DataFrame:
     """source, source_size, weight, target: one row per source in, one out.
 
@@ -102,7 +109,7 @@ def plan_mix(
 ) -> DataFrame:
     """What the mix takes of every document.
 
-    Returns key, source, size, source_size, target, taken, and how: ``turns`` whole copies,
+    Returns key, source, size, source_size, target, draw, taken, and how: ``turns`` whole copies,
     then ``run_lo .. run_hi`` and ``wrap_hi`` words - the words ``[run_lo, run_hi)`` and
     ``[0, wrap_hi)`` of one more copy (the second part where the ring closes inside).
 
@@ -114,7 +121,7 @@ def plan_mix(
         F.col(key).alias("key"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("draw"),
+        draw(F.col(key), F.col(text), seed).alias("draw"),
     )
     base = written(base, "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
@@ -156,7 +163,7 @@ def plan_mix(
     inside = lambda value: F.least(F.greatest(value, F.lit(0)), F.col("size"))
     stop = F.col("first") + F.col("rest")
     rows = rows.select(
-        "key", "source", "size", "source_size", "target", "turns",
+        "key", "source", "size", "source_size", "target", "draw", "turns",
         inside(F.col("first") - F.col("lo")).alias("run_lo"),
         inside(stop - F.col("lo")).alias("run_hi"),
         inside(stop - F.col("part") - F.col("lo")).alias("wrap_hi"),
@@ -165,20 +172,29 @@ def plan_mix(
     return rows.withColumn("taken", taken.cast("long")).withColumnRenamed("key", key).withColumnRenamed("source", source)
 
 
-def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, plan: DataFrame, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of the mix: ``docs`` with each document once for every whole copy taken, and once
     more with the words of each run where a block's edge cuts it.
 
     A cut text is its words joined by single spaces; ``n_chars``, if there, follows the text.
-    Documents are matched by key and number of words, so rows that repeat a key with texts of
-    different lengths keep their own plan; rows that share both are interchangeable.
+    Rows are matched with their plan (of the same ``seed``) by key, text and source. Rows that
+    repeat all three can't be told apart: what the plan takes of them together is taken of each
+    in equal parts, to the word below.
     """
-    of_row = plan.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(
-        F.max(F.struct("turns", "run_lo", "run_hi", "wrap_hi")).alias("_take")
+    share = F.floor(F.col("_sum") / F.col("_m"))
+    planned = F.struct("_first.turns", "_first.run_lo", "_first.run_hi", "_first.wrap_hi")
+    nothing = F.lit(0).cast("long")
+    equal = F.struct(
+        F.floor(share / F.col("_size")).alias("turns"), nothing.alias("run_lo"), F.pmod(share, F.col("_size")).alias("run_hi"), nothing.alias("wrap_hi")
+    )
+    of_row = (
+        plan.filter("size > 0")
+        .groupBy(F.col("draw").alias("_draw"), F.col(source).alias("_source"))
+        .agg(F.count("*").alias("_m"), F.sum("taken").alias("_sum"), F.first("size").alias("_size"), F.first(F.struct("turns", "run_lo", "run_hi", "wrap_hi")).alias("_first"))
+        .select("_draw", "_source", F.when(F.col("_m") == 1, planned).otherwise(equal).alias("_take"))
     )
-    rows = docs.withColumn("_words", word_count(F.col(text))).filter("_words > 0")
-    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    rows = rows.join(of_row, same)
+    rows = docs.withColumn("_words", word_count(F.col(text))).filter("_words > 0").withColumn("_own", draw(F.col(key), F.col(text), seed))
+    rows = rows.join(of_row, (F.col("_own") == F.col("_draw")) & F.col(source).eqNullSafe(F.col("_source")))
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("lo"), F.col("_words").alias("hi")), F.col("_take.turns").cast("int"))
     run = F.array(F.struct(F.col("_take.run_lo").cast("long").alias("lo"), F.col("_take.run_hi").cast("long").alias("hi")), F.struct(F.lit(0).cast("long").alias("lo"), F.col("_take.wrap_hi").cast("long").alias("hi")))
     rows = rows.withColumn("_part", F.explode(F.concat(whole, F.filter(run, lambda r: r["hi"] > r["lo"]))))

@@ -127,7 +127,7 @@ SQL: dict[str, str] = {
     "op4_mixing": r"""
         with base as (
           select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-                 md5('mix|' || coalesce(cast(doc_id as varchar), '')) as draw
+                 md5('mix|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) as draw
           from documents),
         sizes as (select source, sum(size)::bigint as source_size, count(*) as source_docs from base group by source),
         shape as (select greatest(1, cast(floor(floor(sum(source_size) * 1.5) / 1048576) as bigint)) as block from sizes),
