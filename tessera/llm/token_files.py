@@ -83,13 +83,22 @@ class EliasFano:
         return EliasFano(n, low_bits, pack_bits(values, low_bits), np.packbits(high, bitorder="little").tobytes(), samples)
 
     def select(self, i: int) -> int:
-        """The i-th value, from the nearest sample on."""
-        start = int(np.frombuffer(self.samples, "<u4", 1, 4 * (i // SAMPLE))[0])
+        """The i-th value: set bits are counted from the nearest sample on, 32 bytes at a time."""
+        start = struct.unpack_from("<I", self.samples, 4 * (i // SAMPLE))[0]
         want, byte = i % SAMPLE, start // 8
-        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, offset=byte), bitorder="little", count=None)[start - 8 * byte :]
-        place = start + int(np.flatnonzero(bits)[want])
+        bits = int.from_bytes(self.high[byte : byte + 32], "little") >> (start % 8) << (start % 8)
+        while (n := bits.bit_count()) <= want:
+            want, byte = want - n, byte + 32
+            bits = int.from_bytes(self.high[byte : byte + 32], "little")
+        half, shift = 128, 0
+        while half:  # the half that holds the bit wanted
+            low = (bits >> shift) & ((1 << half) - 1)
+            if (n := low.bit_count()) <= want:
+                want, shift = want - n, shift + half
+            half //= 2
+        place = 8 * byte + shift
         at = i * self.low_bits
-        window = int.from_bytes(self.low[at // 8 : (at + self.low_bits + 7) // 8], "little")
+        window = int.from_bytes(self.low[at // 8 : (at + self.low_bits + 15) // 8], "little")
         low = (window >> (at % 8)) & ((1 << self.low_bits) - 1)
         return ((place - i) << self.low_bits) | low
 
@@ -106,7 +115,10 @@ def encode_block(doc_ids: list[int | None], ids: list[bytes], id_width: int) ->
     ends = np.cumsum([len(b) // 4 for b in ids], dtype=np.int64) if ids else np.zeros(0, np.int64)
     n_ids = int(ends[-1]) if len(ends) else 0
     bounds = EliasFano.of(ends, n_ids)
-    tokens = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{id_width}").tobytes()
+    wide = np.frombuffer(b"".join(ids), "<u4")
+    if id_width < 4 and len(wide) and int(wide.max()) >> (8 * id_width):
+        raise ValueError(f"an id of {int(wide.max())} needs more than {id_width} bytes")
+    tokens = wide.astype(f"<u{id_width}").tobytes()
     keys = np.array([NO_ID if d is None else d for d in doc_ids], "<i8").tobytes()
     head = HEAD.pack(MAGIC, bounds.n, n_ids, bounds.low_bits, id_width, len(bounds.high))
     return b"".join((head, bounds.low, bounds.high, bounds.samples, keys, tokens))
@@ -197,7 +209,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, firsts, payloads = (batch.column(i) for i in range(3))
         for part, first, payload in zip(parts.to_pylist(), firsts.to_pylist(), payloads, strict=True):
             block = Block.of(payload.as_py())
-            ends = block.bounds.all()
+            ends = np.array([block.bounds.select(i) for i in range(block.bounds.n)], np.int64)
             starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
             wide = block.tokens.astype("<u4")
             sums = [zlib.crc32(wide[lo:hi]) for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]

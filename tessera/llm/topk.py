@@ -3,9 +3,9 @@
 Vectors become integers, ``floor(scale * x)``. A block is a range of documents with a
 forward index (its vectors, packed) and, for each term (dimension), the largest and the
 smallest value. For a query, the sum over terms of what the best value could give bounds
-every score in the block. A task scores a batch of queries against its blocks in the order
-of that bound and leaves a query out of a block as soon as the bound cannot beat its kth
-score; every query's best k of each task then meet.
+every score in the block. In a task each query visits the blocks in the order of its own
+bounds and stops as soon as they cannot beat its kth score; every query's best k of each task
+then meet.
 
 Blocks are dealt to lanes and each batch of queries visits every lane, so work splits by
 queries and by documents and no side is broadcast. Rows passed on are k a query and lane.
@@ -108,26 +108,31 @@ def _searcher(k: int) -> Callable:
             edges[0, i, : r["dims"]] = np.frombuffer(r["highs"], "<i8")
             edges[1, i, : r["dims"]] = np.frombuffer(r["lows"], "<i8")
         limit = bounds(q, edges[0], edges[1])
-        for i in np.argsort(-limit.max(axis=0), kind="stable"):
-            r = rows[i]
+        # Each query visits the blocks in the order of its own bounds; those that come to one
+        # block at the same turn are scored together.
+        order = np.argsort(-limit, axis=1, kind="stable")
+        for turn in range(len(rows)):
+            chosen = order[:, turn]
             # a block whose bound equals the kth score may still hold a smaller id
-            open_ = np.flatnonzero(limit[:, i] >= best[:, -1])
-            if not len(open_):
-                continue
-            ids = np.frombuffer(r["ids"], "<i8")
-            scores = product(q[open_], np.frombuffer(r["table"], "<i8").reshape(-1, r["dims"]))
-            if (r["part"], r["block"]) == tag:  # a query's own row is no candidate of its own
-                scores[np.arange(len(open_)), open_] = LOWEST
-            worth = np.flatnonzero(scores.max(axis=1) >= best[open_, -1])
-            if not len(worth):
-                continue
-            scores, rank = scores[worth], open_[worth]
-            known = np.where(ids == NO_ID, np.iinfo(np.int64).max, ids)
-            all_scores = np.concatenate((best[rank], scores), axis=1)
-            all_ids = np.concatenate((names[rank], np.broadcast_to(known, scores.shape)), axis=1)
-            pick = _better(all_scores, all_ids, k)
-            best[rank] = np.take_along_axis(all_scores, pick, axis=1)
-            names[rank] = np.take_along_axis(all_ids, pick, axis=1)
+            going = limit[np.arange(len(q)), chosen] >= best[:, -1]
+            if not going.any():
+                break  # bounds only fall from here on
+            for i in np.unique(chosen[going]):
+                r, open_ = rows[i], np.flatnonzero(going & (chosen == i))
+                ids = np.frombuffer(r["ids"], "<i8")
+                scores = product(q[open_], np.frombuffer(r["table"], "<i8").reshape(-1, r["dims"]))
+                if (r["part"], r["block"]) == tag:  # a query's own row is no candidate of its own
+                    scores[np.arange(len(open_)), open_] = LOWEST
+                worth = np.flatnonzero(scores.max(axis=1) >= best[open_, -1])
+                if not len(worth):
+                    continue
+                scores, rank = scores[worth], open_[worth]
+                known = np.where(ids == NO_ID, np.iinfo(np.int64).max, ids)
+                all_scores = np.concatenate((best[rank], scores), axis=1)
+                all_ids = np.concatenate((names[rank], np.broadcast_to(known, scores.shape)), axis=1)
+                pick = _better(all_scores, all_ids, k)
+                best[rank] = np.take_along_axis(all_scores, pick, axis=1)
+                names[rank] = np.take_along_axis(all_ids, pick, axis=1)
         at, place = np.nonzero(best > LOWEST)
         found = names[at, place]
         return pa.RecordBatch.from_arrays(
