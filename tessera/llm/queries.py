@@ -211,6 +211,21 @@ SQL: dict[str, str] = {
         select page_id, b.url, b.fetched_at, coalesce(n_lists, 0) > 0 as blocked, coalesce(n_lists, 0) as n_lists, first_list
         from base b left join active a on a.url = b.url and a.fetched_at = b.fetched_at
     """,
+    "op8_near_dedup": r"""
+        with recursive base as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        sets as (
+          select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) else w end as s from base),
+        items as (select doc_id, len(s) as n, unnest(s) as g from sets),
+        shared as (
+          select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as c
+          from items a join items b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+        links as (select x, y from shared where 100 * c >= 80 * (nx + ny - c)),
+        both_ways as (select x, y from links union select y, x from links),
+        reach(doc_id, other) as (select doc_id, doc_id from sets union select r.doc_id, b.y from reach r join both_ways b on b.x = r.other),
+        least_one as (select doc_id, min(other) as component_id from reach group by 1)
+        select s.doc_id, cast(len(s) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept from sets s join least_one l on l.doc_id = s.doc_id
+    """,
     "op6_topk": """
         with v as (select row_number() over () as row_id, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as values
                    from embeddings

@@ -56,6 +56,17 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_a_path_in_random_order(spark, monkeypatch):
+    from tessera.llm import components
+
+    rounds, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or write(df, name))
+    order = np.random.default_rng(1).permutation(300).tolist()
+    got = connected_components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()
+    assert {r.label for r in got} == {0} and len(got) == 300
+    assert rounds.count("labels-seen") <= 12
+
+
 @pytest.mark.parametrize("length", [200, 60])
 def test_repeats(spark, length):
     data = corpus.rows()
@@ -80,5 +91,26 @@ def test_repeats_inside_one_document_and_many_surroundings(spark, monkeypatch):
     assert got == {key: sum(m) for (key, _), m in zip(data, masks)}
 
 
+def test_repeats_of_hot_picks_and_long_texts(spark, monkeypatch):
+    """Picks with many different units are counted by window, long texts are read in pieces."""
+    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "AT_ONCE", 700)
+    passage = " ".join(corpus.words(60, 31))
+    data = [(i, " ".join(corpus.words(3 + i, 500 + i)) + " " + passage[i % 9 :] + " " + " ".join(corpus.words(200, 900 + i))) for i in range(12)]
+    data += [data[0], (None, "z" * 3000), (13, "z" * 201), (14, None)]
+    got = sorted(r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), 200).collect())
+    assert got == sorted(sum(m) for m in corpus.removed_masks([t for _, t in data], 200))
+
+
+def test_words_do_not_collide_by_structure():
+    """Words whose hashes agree modulo a power of two under any sum of powers."""
+    import pyarrow as pa
+
+    for n in (64, 1024, 4096):
+        morse = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        hashes, at = shingle_sets(*text_buffers(pa.array([morse, morse.translate(str.maketrans("ab", "ba"))])), 1)
+        assert at.tolist() == [0, 1, 2] and hashes[0] != hashes[1]
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], corpus.SCHEMA)).count() == 0

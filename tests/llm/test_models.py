@@ -39,6 +39,16 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(together, alone)
 
 
+def test_long_texts_score_like_whole_ones(monkeypatch):
+    net = quality.Network.fresh(3)
+    for size in (641, 1279, 1280, 1281, 6463):
+        data = np.random.default_rng(size).integers(97, 101, size).astype(np.uint8)
+        whole = net.scores(data, np.array([0, size]))
+        with monkeypatch.context() as m:
+            m.setattr(quality, "LONG", 640)
+            assert np.allclose(net.scores(data, np.array([0, size])), whole, rtol=0, atol=1e-9)
+
+
 def test_gradients():
     net = quality.Network.fresh(2)
     texts = [b"some text that is long enough " * 9, b"OTHER!! TEXT!! HERE!! " * 8]

@@ -1,4 +1,6 @@
 import datetime as dt
+import hashlib
+import math
 import zlib
 
 import pytest
@@ -25,6 +27,28 @@ def test_sharding(spark):
     assert len({(r.doc_id, r.shard) for r in got}) == len({r.doc_id for r in got})
 
 
+def test_sharding_by_brute_force(spark):
+    """Every record's winner by md5 and logarithms in plain Python, with 8 shards and 9."""
+    rows = spark.createDataFrame([(i, "x") for i in range(500)] + [(None, "y")], "doc_id long, text string")
+
+    def winner(key, shards):
+        u = lambda i: (int(hashlib.md5(f"|{key}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        return max(range(shards), key=lambda i: (-1 / math.log(u(i)), -i))
+
+    for r in sharding.shard(rows).collect():
+        key = "" if r.doc_id is None else r.doc_id
+        assert (r.shard, r.grown_shard) == (winner(key, 8), winner(key, 9))
+
+
+def test_mixed_repeated_rows_do_not_overshoot(spark):
+    rows = [(None, " ".join(corpus.words(20, 7)), "s")] * 30 + [(i, " ".join(corpus.words(20, 50 + i)), "s") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(docs, scale=0.5)
+    took = sum(words_of(r.text) for r in mixing.mixed(docs, plan).collect())
+    planned = plan.agg(F.sum("taken")).first()[0]
+    assert planned - 30 < took <= planned
+
+
 def test_shard_weights(spark):
     docs = spark.range(20000).selectExpr("id as doc_id", "'' as text")
     counts = {r.shard: r["count"] for r in sharding.shard(docs, [1.0, 3.0, 0.0]).groupBy("shard").count().collect()}

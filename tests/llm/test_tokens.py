@@ -116,3 +116,22 @@ class Counter_:
                 at += length
             assert at <= capacity
         return True
+
+
+def test_ids_equal_the_library_on_odd_characters():
+    import random
+
+    encoder = WordEncoder.of(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    parts = ["a", "B", "\x1c", "\x1d", "\x1e", "\x1f", " ", "\t", "\u3000", "\u00e9", "\x85", "\x01", "<|endoftext|>", "<|ENDOFTEXT|>", "the", "I", "\u0307", "\u0301", "1", "-", "\ufeff"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for text, raw in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_select_finds_every_boundary():
+    rng = np.random.default_rng(3)
+    for gaps in ([1] * 500, rng.integers(0, 5000, 700), [1] * 100 + [100_000] + [1] * 100):
+        ends = np.cumsum(gaps)
+        code = token_files.EliasFano.of(ends, int(ends[-1]))
+        assert [code.select(i) for i in range(len(ends))] == ends.tolist() == code.all().tolist()
