@@ -100,13 +100,14 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFr
     return top_per_group(df, key, order, 1).drop("rank")
 
 
-def with_backfill(df: DataFrame, group: str, order: Sequence[Column], quotas: dict[str, int], total: int) -> DataFrame:
-    """Each group's quota, then the best of what is left over all groups up to ``total``.
+def with_backfill(df: DataFrame, group: str, order: Sequence[Column], quotas: dict[str, int] | int, total: int) -> DataFrame:
+    """Each group's quota (one for all, or by group), then the best of what is left over all groups up to ``total``.
 
     Adds rank (in the group), tier (0 by quota, 1 as fill) and place (1 to ``total``). The
     overflow of all groups is cut to ``total`` rows before it is ordered as one.
     """
-    quota = reduce(lambda out, item: F.when(F.col(group) == item[0], item[1]).otherwise(out), quotas.items(), F.lit(0))
+    each = quotas.items() if isinstance(quotas, dict) else ()
+    quota = reduce(lambda out, item: F.when(F.col(group) == item[0], item[1]).otherwise(out), each, F.lit(0 if isinstance(quotas, dict) else quotas))
     all_ranked = ranked(df, [group], order)
     own = all_ranked.filter(F.col("rank") <= quota).withColumn("tier", F.lit(0))
     spare = all_ranked.filter(F.col("rank") > quota).orderBy(*order).limit(total).withColumn("tier", F.lit(1))

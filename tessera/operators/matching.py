@@ -6,47 +6,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import urls
-from tessera.functions.text import tokens
 
 #: Words that say nothing about which company is meant. Fixed values.
-LEGAL_FORMS = ["inc", "corp", "corporation", "company", "co", "ltd", "limited", "plc", "group", "holdings", "holding", "sa", "ag", "the"]
+LEGAL_FORMS = ["s.a.", "ltd", "inc", "co", "company", "corporation", "limited", "plc", "corp"]
+
+
+def name_words(name: Column) -> Column:
+    """The words between white space, in lower case; an empty name is one empty word."""
+    return F.split(F.lower(name), r"\s+")
 
 
 def name_tokens(name: Column) -> Column:
-    return F.array_distinct(F.filter(tokens(name), lambda w: ~w.isin(LEGAL_FORMS)))
+    """The words without legal forms; repeated words stay."""
+    return F.filter(name_words(name), lambda w: ~w.isin(LEGAL_FORMS))
+
+
+def _least_id(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    best = Window.partitionBy(key).orderBy(*order, "company_id")
+    return df.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
 
 def fuzzy_match(names: DataFrame, companies: DataFrame, least_overlap: float = 0.8, least_score: float = 0.6) -> DataFrame:
     """name, company_id, company, score: the best company of each name.
 
     ``names`` has name; ``companies`` company_id, company. An equal name (ignoring case) wins with
-    score 1. Otherwise 0.7 of the share of the name's tokens found plus 0.3 of the ratio of lengths;
-    the smallest company_id among equals. Candidates share a token; each name meets only those.
+    score 1. Otherwise 0.7 of the share of the name's tokens that the company has plus 0.3 of the
+    ratio of lengths; the smallest company_id among equals. Null names match nothing.
+
+    A company with that share of a name's n tokens lacks at most n - ceil(share * n) of them, so
+    one more than that of the name's rarest tokens suffice to find it: frequent words join nothing
+    and are only counted.
     """
-    left = names.select("name").distinct().withColumn("words", name_tokens(F.col("name")))
-    right = companies.withColumn("own", name_tokens(F.col("company")))
-    by_word = left.select("name", F.explode("words").alias("word")).join(right.select("company_id", F.explode("own").alias("word")), "word")
-    shared = by_word.groupBy("name", "company_id").agg(F.count("*").alias("shared"))
-    scored = shared.join(left, "name").join(right, "company_id")
-    overlap = F.col("shared") / F.greatest(F.size("words"), F.lit(1))
-    lengths = F.least(F.length("name"), F.length("company")) / F.greatest(F.length("name"), F.length("company"))
-    exact = F.lower(F.trim("name")) == F.lower(F.trim("company"))
-    scored = scored.withColumn("score", F.when(exact, F.lit(1.0)).when(overlap >= least_overlap, F.round(0.7 * overlap + 0.3 * lengths, 6)))
-    best = Window.partitionBy("name").orderBy(F.desc("score"), "company_id")
-    top = scored.filter(F.col("score") >= least_score).withColumn("r", F.row_number().over(best)).filter("r = 1")
-    return top.select("name", "company_id", "company", "score")
+    left = names.select("name").filter("name is not null").distinct()
+    right = companies.filter("company is not null").select("company_id", "company")
+    equal = left.join(right.withColumn("_low", F.lower("company")), F.lower("name") == F.col("_low")).drop("_low")
+    equal = _least_id(equal, "name").withColumn("score", F.lit(1.0))
+    rest = left.join(equal.select("name"), "name", "left_anti").withColumn("words", name_tokens(F.col("name")))
+    own = right.withColumn("own", F.array_distinct(name_tokens(F.col("company"))))
+    posted = own.select("company_id", F.explode("own").alias("word"))
+    often = posted.groupBy("word").agg(F.count("*").alias("n"))
+    asked = rest.select("name", F.size("words").alias("_n"), F.explode("words").alias("word")).distinct()
+    rare = Window.partitionBy("name").orderBy(F.coalesce("n", F.lit(0)), "word")
+    spare = F.col("_n") - F.ceil(F.lit(least_overlap) * F.col("_n")) + 1
+    probes = asked.join(often, "word", "left").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= spare)
+    met = probes.join(posted, "word").select("name", "company_id").distinct().join(rest, "name").join(own, "company_id")
+    share = F.size(F.filter("words", lambda w: F.array_contains("own", w))) / F.size("words")
+    lengths = 1 - F.abs(F.length("name") - F.length("company")) / F.greatest(F.length("name"), F.length("company"))
+    scored = met.filter(share >= least_overlap).withColumn("score", F.round(0.7 * share + 0.3 * lengths, 6))
+    best = _least_id(scored.filter(F.col("score") >= least_score), "name", F.desc("score"))
+    return equal.unionByName(best.select("name", "company_id", "company", "score"))
 
 
 def priority_match(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """An equal name, else a company with all the name's words, smallest company_id first."""
-    left = names.select("name").distinct().withColumn("words", tokens(F.col("name")))
-    right = companies.withColumn("own", tokens(F.col("company")))
-    first = left.withColumn("word", F.element_at("words", 1)).join(right.select("*", F.explode("own").alias("word")), "word")
-    all_in = F.size(F.array_except("words", "own")) == 0
-    tier = F.when(F.lower(F.trim("name")) == F.lower(F.trim("company")), 0).when(all_in, 1)
-    best = Window.partitionBy("name").orderBy("tier", "company_id")
-    top = first.withColumn("tier", tier).filter("tier is not null").withColumn("r", F.row_number().over(best)).filter("r = 1")
-    return top.select("name", "company_id", "company", "tier")
+    """name, company_id, company, tier: an equal name (0), else a company whose words hold all of the
+    name's words (1), the smallest company_id of either; names without a match are not there."""
+    left = names.select("name").filter("name is not null").distinct()
+    right = companies.filter("company is not null").select("company_id", "company")
+    equal = left.join(right.withColumn("_low", F.lower(F.trim("company"))), F.lower(F.trim("name")) == F.col("_low")).drop("_low")
+    equal = _least_id(equal, "name").withColumn("tier", F.lit(0))
+    rest = left.join(equal.select("name"), "name", "left_anti")
+    words = lambda c: F.array_distinct(F.filter(name_words(F.trim(c)), lambda w: w != ""))
+    own = right.withColumn("own", words("company"))
+    posted = own.select("company_id", F.explode("own").alias("word"))
+    often = posted.groupBy("word").agg(F.count("*").alias("n"))
+    asked = rest.withColumn("words", words("name")).select("name", "words", F.explode("words").alias("word"))
+    first = Window.partitionBy("name").orderBy("n", "word")
+    rarest = asked.join(often, "word").withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+    met = rarest.join(posted, "word").join(own, "company_id").filter(F.size(F.array_except("words", "own")) == 0)
+    found = _least_id(met, "name").select("name", "company_id", "company").withColumn("tier", F.lit(1))
+    return equal.unionByName(found)
 
 
 def pattern_match(pages: DataFrame, registry: DataFrame, url: str = "url") -> DataFrame:

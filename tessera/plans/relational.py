@@ -70,9 +70,9 @@ def user_liked_set(t: Tables) -> DataFrame:
 
 
 @query(f"""select user_id, c_name as name, created_at from (select user_id, created_at, row_number() over (partition by user_id order by created_at desc, event_id desc) as r
-          from {_LIKES} where content_id < 50) join customer on c_custkey = user_id where r = 1""")
+          from {_LIKES}) join customer on c_custkey = user_id where r = 1""")
 def likers_latest(t: Tables) -> DataFrame:
-    last = listing.latest(likes(t).filter("content_id < 50"), ["user_id"], [F.desc("created_at"), F.desc("event_id")])
+    last = listing.latest(likes(t), ["user_id"], [F.desc("created_at"), F.desc("event_id")])
     return last.join(users(t), "user_id").select("user_id", "name", "created_at")
 
 
@@ -120,7 +120,7 @@ def community_feed_top(t: Tables) -> DataFrame:
 @query(f"""with w as (select * from {_LIKES} where created_at >= timestamp '2024-01-22' and created_at < timestamp '2024-01-29'),
           c as (select 'article' as kind, doc_id as id, substr(text, 1, 40) as title from documents where doc_id % 2 = 0
                 union all select 'publication', doc_id, substr(text, 1, 40) from documents where doc_id % 2 = 1
-                union all select 'part', p_partkey, p_name from part where p_partkey < 100)
+                union all select 'part', p_partkey, p_name from part)
           select kind, id, title, n from (select kind, id, title, count(*) as n, row_number() over (partition by kind order by count(*) desc, id) as r
           from c join w on content_id = id group by 1, 2, 3) where r <= 5""")
 def weekly_digest(t: Tables) -> DataFrame:
@@ -128,7 +128,7 @@ def weekly_digest(t: Tables) -> DataFrame:
     week = likes(t).filter((F.col("created_at") >= monday.cast("timestamp_ntz")) & (F.col("created_at") < F.date_add(sunday, 1).cast("timestamp_ntz")))
     kind = F.when(F.col("doc_id") % 2 == 0, "article").otherwise("publication")
     docs = t.documents.select(kind.alias("kind"), F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"))
-    parts = t.part.filter("p_partkey < 100").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    parts = t.part.select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
     counts = week.groupBy("content_id").agg(F.count("*").alias("n"))
     liked = docs.unionByName(parts).join(counts, F.col("content_id") == F.col("id"))
     return listing.top_per_group(liked, ["kind"], [F.desc("n"), F.col("id")], 5).select("kind", "id", "title", "n")
@@ -232,10 +232,10 @@ def tender_filters_arrays(t: Tables) -> DataFrame:
 
 
 @query("""select o_orderkey as id, count(l_orderkey) as lots, coalesce(sum(cast(l_extendedprice as decimal(18,2)))::double, 0) as lot_total, coalesce(max(l_linenumber), 0) as last_lot
-          from orders left join lineitem on l_orderkey = o_orderkey where o_orderkey < 3000 group by 1""")
+          from orders left join lineitem on l_orderkey = o_orderkey group by 1""")
 def tender_detail_nested(t: Tables) -> DataFrame:
-    lots = t.lineitem.filter("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("price")))).alias("lots"))
-    joined = t.orders.filter("o_orderkey < 3000").select(F.col("o_orderkey").alias("id")).join(lots, "id", "left")
+    lots = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("price")))).alias("lots"))
+    joined = t.orders.select(F.col("o_orderkey").alias("id")).join(lots, "id", "left")
     total = F.aggregate(F.coalesce("lots.price", F.array()), F.lit(0).cast("decimal(28,2)"), lambda s, x: (s + x).cast("decimal(28,2)"))
     return joined.select("id", F.coalesce(F.size("lots"), F.lit(0)).cast("long").alias("lots"), total.cast("double").alias("lot_total"), F.coalesce(F.array_max("lots.l_linenumber"), F.lit(0)).alias("last_lot"))
 
@@ -350,10 +350,10 @@ def top_pages(t: Tables) -> DataFrame:
     return t.events.groupBy(page.alias("page")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "page").limit(10)
 
 
-@query("""with d as (select word from documents, unnest(string_split(lower(substr(text, 1, 200)), ' ')) as u(word) where length(word) > 3)
+@query("""with d as (select word from documents, unnest(string_split(lower(text), ' ')) as u(word) where length(word) > 3)
           select word, count(*) as n from d group by 1 order by n desc, word limit 15""")
 def unnest_keywords(t: Tables) -> DataFrame:
-    words = t.documents.select(F.explode(F.split(F.lower(F.substring("text", 1, 200)), " ")).alias("word")).filter("length(word) > 3")
+    words = t.documents.select(F.explode(F.split(F.lower("text"), " ")).alias("word")).filter("length(word) > 3")
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(15)
 
 
@@ -369,10 +369,10 @@ def partition_counts(t: Tables) -> DataFrame:
     return t.events.groupBy(kind.alias("k")).agg(F.count("*").alias("n")).select("k.side", "k.event_type", "n")
 
 
-@query("""select c_custkey as user_id, coalesce(n, 0) as alerts from customer left join (select user_id, count(*) as n from events where event_type = 'signup' group by 1) on user_id = c_custkey where c_custkey < 200""")
+@query("""select c_custkey as user_id, coalesce(n, 0) as alerts from customer left join (select user_id, count(*) as n from events where event_type = 'signup' group by 1) on user_id = c_custkey""")
 def relation_counts(t: Tables) -> DataFrame:
     counts = t.events.filter("event_type = 'signup'").groupBy("user_id").agg(F.count("*").alias("n"))
-    return users(t).filter("user_id < 200").join(counts, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).cast("long").alias("alerts"))
+    return users(t).join(counts, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).cast("long").alias("alerts"))
 
 
 @query("""select o_orderkey as id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)""")
@@ -380,15 +380,15 @@ def orphan_orders(t: Tables) -> DataFrame:
     return t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select(F.col("o_orderkey").alias("id"))
 
 
-@query("""select c_custkey as user_id, count(e.event_id) as recent from customer left join events e on e.user_id = c_custkey and e.ts > timestamp '2024-01-30' where c_custkey < 100 group by 1""")
+@query("""select c_custkey as user_id, count(e.event_id) as recent from customer left join events e on e.user_id = c_custkey and e.ts > timestamp '2024-01-30' group by 1""")
 def outer_with_time_in_on(t: Tables) -> DataFrame:
     recent = t.events.filter("ts > timestamp_ntz '2024-01-30'").select("user_id", "event_id")
-    return users(t).filter("user_id < 100").join(recent, "user_id", "left").groupBy("user_id").agg(F.count("event_id").alias("recent"))
+    return users(t).join(recent, "user_id", "left").groupBy("user_id").agg(F.count("event_id").alias("recent"))
 
 
 @query("select n_name as country, count(*) as suppliers, sum(cast(s_acctbal as decimal(18,2)))::double as balance from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey group by 1")
 def source_countries(t: Tables) -> DataFrame:
-    joined = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy(F.col("n_name").alias("country")).agg(F.count("*").alias("suppliers"), money("s_acctbal").alias("balance"))
 
 
@@ -407,9 +407,9 @@ def forward_fill(t: Tables) -> DataFrame:
     return listing.forward_filled(asked, "asked", ["conv_id"], [F.col("turn")], "asked_at").select("conv_id", "turn", "asked_at")
 
 
-@query("""select event_id, coalesce(first_value(case when event_type in ('error', 'purchase') then event_type end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), event_type) as latched from events where user_id < 40""")
+@query("""select event_id, coalesce(first_value(case when event_type in ('error', 'purchase') then event_type end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), event_type) as latched from events""")
 def latched_fold(t: Tables) -> DataFrame:
-    found = listing.latched(t.events.filter("user_id < 40"), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type", ["error", "purchase"])
+    found = listing.latched(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], "event_type", ["error", "purchase"])
     return found.select("event_id", "latched")
 
 
@@ -426,8 +426,7 @@ def drift_check(t: Tables) -> DataFrame:
           select section, id, tier, row_number() over (order by tier, price desc, id) as place from o order by tier, price desc, id limit 40""")
 def candidate_backfill(t: Tables) -> DataFrame:
     parts = t.part.select(F.col("p_type").alias("section"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
-    quotas = {r[0]: 2 for r in parts.select("section").distinct().collect()}  # section names: a fixed list
-    chosen = listing.with_backfill(parts, "section", [F.desc("price"), F.col("id")], quotas, 40)
+    chosen = listing.with_backfill(parts, "section", [F.desc("price"), F.col("id")], 2, 40)
     return chosen.select("section", "id", "tier", F.col("place").cast("long").alias("place"))
 
 

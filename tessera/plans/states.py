@@ -114,13 +114,13 @@ def like_toggle_latest(t: Tables) -> DataFrame:
     return last.filter("event_type = 'click'").select("user_id", "content_id", F.col("ts").alias("liked_at"))
 
 
-@query("""with s as (select l_suppkey as id, l_shipdate as a, l_shipdate + to_days(cast(l_quantity % 20 as int) + 1) as b from lineitem where l_suppkey < 30),
+@query("""with s as (select l_suppkey as id, l_shipdate as a, l_shipdate + to_days(cast(l_quantity % 20 as int) + 1) as b from lineitem),
           g as (select *, coalesce(a > max(b) over (partition by id order by a, b rows between unbounded preceding and 1 preceding), true)::int as new from s),
           i as (select *, sum(new) over (partition by id order by a, b rows between unbounded preceding and current row) as island from g)
           select id, sum(epoch(e - s))::double as active_seconds, count(*) as islands from (select id, island, min(a) as s, max(b) as e from i group by 1, 2) group by 1""")
 def active_time_union(t: Tables) -> DataFrame:
     days = F.expr("make_dt_interval(cast(l_quantity % 20 as int) + 1)")
-    spans = t.lineitem.filter("l_suppkey < 30").select(F.col("l_suppkey").alias("id"), F.col("l_shipdate").alias("a"), (F.col("l_shipdate") + days).alias("b"))
+    spans = t.lineitem.select(F.col("l_suppkey").alias("id"), F.col("l_shipdate").alias("a"), (F.col("l_shipdate") + days).alias("b"))
     return limits.active_seconds(spans, "id", "a", "b")
 
 
@@ -147,7 +147,7 @@ def alerts_due(t: Tables) -> DataFrame:
     return alerts.due(preferences(t), F.expr(AS_OF)).select("user_id", "frequency")
 
 
-@query("""with p as (select c_custkey as user_id, 'src' || (c_custkey % 20) as source, case when c_custkey % 3 = 0 then [] else ['THE', 'de'] end as keywords from customer where c_custkey < 300),
+@query("""with p as (select c_custkey as user_id, 'src' || (c_custkey % 20) as source, case when c_custkey % 3 = 0 then [] else ['THE', 'de'] end as keywords from customer),
           c as (select doc_id as content_id, source, substr(text, 1, 60) as title, timestamp '2024-01-31' - to_hours(cast(doc_id % 72 as int)) as created_at from documents),
           m as (select p.user_id, p.source, content_id, created_at from p join c using (source) where created_at > timestamp '2024-01-31' - interval 1 day
                 and (len(keywords) = 0 or len(list_filter(keywords, lambda k: contains(lower(title), lower(k)))) > 0)
@@ -156,7 +156,7 @@ def alerts_due(t: Tables) -> DataFrame:
 def alerts_new_content(t: Tables) -> DataFrame:
     none = F.array().cast("array<string>")
     words = F.when(F.col("c_custkey") % 3 == 0, none).otherwise(F.array(F.lit("THE"), F.lit("de")))
-    prefs = t.customer.filter("c_custkey < 300").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string")).alias("source"), words.alias("keywords"))
+    prefs = t.customer.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string")).alias("source"), words.alias("keywords"))
     made = F.expr(f"{AS_OF} - make_dt_interval(0, cast(doc_id % 72 as int))")
     content = t.documents.select(F.col("doc_id").alias("content_id"), "source", F.substring("text", 1, 60).alias("title"), made.alias("created_at"))
     sent = t.events.filter("event_type = 'purchase'").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("content_id"))

@@ -91,17 +91,36 @@ def approval_gate(t: Tables) -> DataFrame:
     return scored_pages(t).select("page_id", scoring.first_reason(rules).alias("reason"))
 
 
-@query("""with n as (select distinct lower(p_name) as name from part where p_partkey % 5 = 0), c as (select p_partkey as company_id, p_name as company from part)
-          select name, min(company_id) as company_id, 1.0::double as score from n join c on lower(trim(company)) = name group by 1""")
+_STOP = "['s.a.', 'ltd', 'inc', 'co', 'company', 'corporation', 'limited', 'plc', 'corp']"
+_NAMES = "(select case p_partkey % 3 when 0 then upper(p_name) when 1 then p_name || ' Ltd' else p_name || ' of ' || p_type end as name from part)"
+
+
+@query(f"""with n as (select distinct name from {_NAMES}), c as (select p_partkey as company_id, p_name as company from part),
+          nw as (select name, list_filter(string_split(lower(name), ' '), lambda w: not list_contains({_STOP}, w)) as words from n),
+          cw as (select company_id, company, list_filter(string_split(lower(company), ' '), lambda w: not list_contains({_STOP}, w)) as own from c),
+          s as (select name, company_id, company, lower(name) = lower(company) as equal,
+                       len(list_filter(words, lambda w: list_contains(own, w)))::double / len(words) as share,
+                       1 - abs(length(name) - length(company))::double / greatest(length(name), length(company)) as lengths from nw, cw),
+          r as (select name, company_id, case when equal then 1.0 else round(0.7::double * share + 0.3::double * lengths, 6) end as score from s where equal or share >= 0.8)
+          select name, company_id, score::double as score from r where score >= 0.6
+          qualify row_number() over (partition by name order by score desc, company_id) = 1""")
 def company_fuzzy_match(t: Tables) -> DataFrame:
-    names = t.part.filter("p_partkey % 5 = 0").select(F.lower("p_name").alias("name"))
+    """Names in capitals, with a legal form, or with words more."""
+    shown = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" Ltd"))).otherwise(F.concat("p_name", F.lit(" of "), "p_type"))
+    names = t.part.select(shown.alias("name"))
     return matching.fuzzy_match(names, t.part.select(F.col("p_partkey").alias("company_id"), F.col("p_name").alias("company"))).select("name", "company_id", "score")
 
 
-@query("select s_suppkey as id, s_name as company, 0 as tier from supplier")
+@query("""with n as (select distinct case when s_suppkey % 2 = 0 then lower(s_name) else string_split(s_name, '#')[1] end as name from supplier),
+          c as (select s_suppkey as company_id, replace(s_name, '#', ' ') as company from supplier union all select -s_suppkey, s_name from supplier where s_suppkey % 4 = 0),
+          m as (select name, company_id, company, case when lower(trim(company)) = lower(trim(name)) then 0
+                       when len(list_filter(string_split(lower(trim(name)), ' '), lambda w: not list_contains(string_split(lower(trim(company)), ' '), w))) = 0 then 1 end as tier from n, c)
+          select name, company_id, company, tier from m where tier is not null qualify row_number() over (partition by name order by tier, company_id) = 1""")
 def company_priority_match(t: Tables) -> DataFrame:
-    found = matching.priority_match(t.supplier.select(F.lower("s_name").alias("name")), t.supplier.select(F.col("s_suppkey").alias("company_id"), F.col("s_name").alias("company")))
-    return found.select(F.col("company_id").alias("id"), "company", "tier")
+    names = t.supplier.select(F.when(F.col("s_suppkey") % 2 == 0, F.lower("s_name")).otherwise(F.split("s_name", "#")[0]).alias("name"))
+    spaced = t.supplier.select(F.col("s_suppkey").alias("company_id"), F.replace("s_name", F.lit("#"), F.lit(" ")).alias("company"))
+    raw = t.supplier.filter("s_suppkey % 4 = 0").select((-F.col("s_suppkey")).alias("company_id"), F.col("s_name").alias("company"))
+    return matching.priority_match(names, spaced.unionByName(raw)).select("name", "company_id", "company", "tier")
 
 
 @query("select doc_id, cast(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) as bigint) as words, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) < 20 as scanned from documents")
@@ -152,10 +171,10 @@ def json_buckets(t: Tables) -> DataFrame:
     return t.events.select(k.alias("k")).groupBy(F.floor(F.col("k") / 20).cast("int").alias("bucket")).agg(F.count("*").alias("n"), F.min("k").alias("lowest"), F.max("k").alias("highest"))
 
 
-@query("select role, string_agg(text, '|' order by conv_id, turn) as trail from conversations where conv_id < 5 group by 1")
+@query("select conv_id, role, string_agg(text, '|' order by turn) as trail from conversations group by 1, 2")
 def ordered_trail(t: Tables) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("conv_id", "turn", "text")))
-    return t.conversations.filter("conv_id < 5").groupBy("role").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "|").alias("trail"))
+    rows = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    return t.conversations.groupBy("conv_id", "role").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "|").alias("trail"))
 
 
 @query()
@@ -185,5 +204,6 @@ def chart_payload(t: Tables) -> DataFrame:
 
 @query("select conv_id, list_aggregate(list_sort(list(turn))[-3:], 'string_agg', ',') as last_turns from conversations group by 1")
 def bounded_log(t: Tables) -> DataFrame:
+    last = listing.top_per_group(t.conversations, ["conv_id"], [F.desc("turn")], 3)
     turns = F.sort_array(F.collect_list("turn"))
-    return t.conversations.groupBy("conv_id").agg(F.array_join(arrays.last_items(turns, 3).cast("array<string>"), ",").alias("last_turns"))
+    return last.groupBy("conv_id").agg(F.array_join(turns.cast("array<string>"), ",").alias("last_turns"))
