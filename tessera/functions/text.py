@@ -44,7 +44,7 @@ def has_phrase(text: Column, phrase: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def is_scanned(text: Column, fewest: int = 20) -> Column:

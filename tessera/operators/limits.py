@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +11,20 @@ from pyspark.sql import functions as F
 
 
 def window_limit(requests: DataFrame, scope: list[str], time: str, unit: str, most: int, order: list[Column], name: str = "allowed") -> DataFrame:
-    """The first ``most`` requests of each scope and calendar minute, hour or day are allowed."""
-    own = Window.partitionBy(*scope, F.date_trunc(unit, time)).orderBy(*order)
-    return requests.withColumn(name, F.row_number().over(own) <= most)
+    """The first ``most`` requests of each scope and calendar minute, hour or day are allowed.
+
+    Only the place of the last one allowed is found - Spark keeps ``most`` rows a window in every
+    task before it deals them out - and then joined back, so a busy scope is not sorted as a
+    whole. ``order`` must tell rows apart; rows that it can't are allowed together.
+    """
+    keyed = requests.withColumn("_window", F.date_trunc(unit, time)).withColumn("_place", F.struct(*order))
+    own = Window.partitionBy(*scope, "_window").orderBy("_place")
+    first = keyed.select(*scope, "_window", "_place").withColumn("_rank", F.row_number().over(own)).filter(F.col("_rank") <= most)
+    keys = [*scope, "_window"]
+    last = first.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.max("_place").alias("_last"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    joined = keyed.join(last, same, "left").withColumn(name, F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False)))
+    return joined.select(*requests.columns, name)
 
 
 def budget_limit(requests: DataFrame, scope: list[str], time: str, unit: str, cost: str, budget: float, order: list[Column], name: str = "within_budget") -> DataFrame:
@@ -23,15 +35,14 @@ def budget_limit(requests: DataFrame, scope: list[str], time: str, unit: str, co
 
 def _fold(most: int, seconds: float):
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start: dict[object, tuple[pd.Timestamp, int]] = {}
+        last, first, n = object(), None, 0  # rows of a key follow each other: one counter is open
         for page in pages:
             counts = []
             for key, ts in zip(page["key"], page["ts"], strict=True):
-                first, n = start.get(key, (ts, 0))
-                if (ts - first).total_seconds() >= seconds:
-                    first, n = ts, 0
-                start[key] = (first, n + 1)
-                counts.append((n + 1, n + 1 >= most))
+                if key != last or (ts - first).total_seconds() >= seconds:
+                    last, first, n = key, ts, 0
+                n += 1
+                counts.append((n, n >= most))
             page[["attempt", "locked"]] = pd.DataFrame(counts, index=page.index, columns=["attempt", "locked"])
             yield page[["key", "id", "ts", "attempt", "locked"]]
 
@@ -42,8 +53,8 @@ def lockout(attempts: DataFrame, most: int = 5, seconds: float = 900) -> DataFra
     """key, id, ts, attempt, locked: attempts counted in windows that start with a key's first one.
 
     A window starts with the first attempt outside the last window, so its place depends on
-    all attempts before. Keys are dealt to partitions, rows stream through in time order and
-    a partition holds one small counter a key.
+    all attempts before. Keys are dealt to partitions, rows stream through by key and time and one
+    counter is open at a time.
     """
     dealt = attempts.select("key", "id", "ts").repartition("key").sortWithinPartitions("key", "ts", "id")
     return dealt.mapInPandas(_fold(most, seconds), "key long, id long, ts timestamp_ntz, attempt int, locked boolean")

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import seconds_between
-from tessera.functions.text import has_phrase
+from tessera.functions.text import phrase_form
 
 
 def authority(host: Column, title: Column, hinted: Column) -> Column:
-    """45, plus what the domain and title say, within 0 and 100."""
+    """45, plus what the domain and title say, within 0 and 100. Fixed values."""
     score = (
         F.lit(45)
         + F.when(host.rlike(r"(^|\.)gov(\.|$)"), 35).otherwise(0)
@@ -35,12 +35,15 @@ def freshness(day: Column, as_of: Column) -> Column:
 
 
 def relevance(text: Column, country: str, sector: Sequence[str], terms: Sequence[str]) -> Column:
-    """25 for the country, 10 for each sector word, 6 for each term, 100 at most."""
-    points = F.when(has_phrase(text, F.lit(country)), 25).otherwise(0)
-    for words, worth in ((sector, 10), (terms, 6)):
-        for w in words:
-            points = points + F.when(has_phrase(text, F.lit(w)), worth).otherwise(0)
-    return F.least(F.lit(100), points)
+    """25 for the country, 10 for each sector word, 6 for each term, 100 at most. Fixed values.
+
+    The text is brought into its plain form once, as the argument of a fold over the phrases.
+    """
+    worth = [(country, 25), *((w, 10) for w in sector), *((w, 6) for w in terms)]
+    phrases = F.array(*(F.struct(phrase_form(F.lit(w)).alias("phrase"), F.lit(n).alias("worth")) for w, n in worth))
+    plain = F.array(phrase_form(text))
+    points = F.transform(plain, lambda t: F.aggregate(phrases, F.lit(0), lambda sum_, p: sum_ + F.when(t.contains(p["phrase"]), p["worth"]).otherwise(0)))
+    return F.least(F.lit(100), points[0])
 
 
 def ranked_sources(df: DataFrame, key: str, most: int = 24) -> DataFrame:

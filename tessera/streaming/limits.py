@@ -22,27 +22,35 @@ def window_counts(requests: DataFrame, scope: list[str], time: str = "ts", unit:
     return out.withColumn("over_limit", F.col("n") > most) if most is not None else out
 
 
-def _attempts(most: int, seconds: float) -> Callable:
+def _attempts(most: int, seconds: float, idle_ms: int) -> Callable:
     def step(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         first, n = state.get if state.exists else (0.0, 0)
         rows = []
-        for page in pages:
-            for at in page.sort_values("ts")["ts"]:
-                now = at.timestamp()
-                if n == 0 or now - first >= seconds:
-                    first, n = now, 0
-                n += 1
-                rows.append((key[0], at, n, n >= most))
+        for at in sorted(at for page in pages for at in page["ts"]):  # one key's times in one micro-batch
+            now = at.timestamp()
+            if n == 0 or now - first >= seconds:
+                first, n = now, 0
+            n += 1
+            rows.append((key[0], at, n, n >= most))
         state.update((first, n))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["key", "ts", "attempt", "locked"])
 
     return step
 
 
-def lockouts(attempts: DataFrame, most: int = 5, seconds: float = 900) -> DataFrame:
-    """key, ts, attempt, locked of each attempt, counted from a key's first one in a window."""
+def lockouts(attempts: DataFrame, most: int = 5, seconds: float = 900, idle_seconds: float = 86400) -> DataFrame:
+    """key, ts, attempt, locked of each attempt, counted from a key's first one in a window.
+
+    Attempts of a micro-batch are counted in order of time; a key that sends nothing for
+    ``idle_seconds`` is forgotten.
+    """
+    step = _attempts(most, seconds, int(1000 * max(idle_seconds, seconds)))
     return attempts.groupBy("key").applyInPandasWithState(
-        _attempts(most, seconds), "key long, ts timestamp, attempt int, locked boolean", "first double, n int", "append", GroupStateTimeout.NoTimeout
+        step, "key long, ts timestamp, attempt int, locked boolean", "first double, n int", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
