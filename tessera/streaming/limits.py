@@ -22,7 +22,7 @@ def window_counts(requests: DataFrame, scope: list[str], time: str = "ts", unit:
     return out.withColumn("over_limit", F.col("n") > most) if most is not None else out
 
 
-def _attempts(most: int, seconds: float, idle_ms: int) -> Callable:
+def _attempts(most: int, seconds: float, idle_ms: int | None) -> Callable:
     def step(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -36,21 +36,24 @@ def _attempts(most: int, seconds: float, idle_ms: int) -> Callable:
             n += 1
             rows.append((key[0], at, n, n >= most))
         state.update((first, n))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["key", "ts", "attempt", "locked"])
 
     return step
 
 
-def lockouts(attempts: DataFrame, most: int = 5, seconds: float = 900, idle_seconds: float = 86400) -> DataFrame:
+def lockouts(attempts: DataFrame, most: int = 5, seconds: float = 900, idle_seconds: float | None = None) -> DataFrame:
     """key, ts, attempt, locked of each attempt, counted from a key's first one in a window.
 
-    Attempts of a micro-batch are counted in order of time; a key that sends nothing for
-    ``idle_seconds`` is forgotten.
+    Attempts of a micro-batch are counted in order of time. With ``idle_seconds``, for queries
+    that run on and on, a key that sends nothing for so long is forgotten.
     """
-    step = _attempts(most, seconds, int(1000 * max(idle_seconds, seconds)))
+    idle_ms = int(1000 * max(idle_seconds, seconds)) if idle_seconds else None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    step = _attempts(most, seconds, idle_ms)
     return attempts.groupBy("key").applyInPandasWithState(
-        step, "key long, ts timestamp, attempt int, locked boolean", "first double, n int", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "key long, ts timestamp, attempt int, locked boolean", "first double, n int", "append", timeout
     )
 
 
