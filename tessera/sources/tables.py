@@ -39,3 +39,9 @@ def missing(spark: SparkSession, folder: str, required: dict[str, Sequence[str]]
             continue
         gone += [(name, c) for c in columns if c not in have]
     return spark.createDataFrame(gone, "table_name string, column_name string")
+
+
+def append_valid(rows: DataFrame, path: str, identifier: str) -> None:
+    """Appends rows whose identifier is a whole number above 0; the others are left out, as logging must not fail."""
+    whole = F.when(F.trim(F.col(identifier).cast("string")).rlike(r"^\d{1,18}$"), F.trim(F.col(identifier).cast("string")).cast("long"))
+    rows.withColumn(identifier, whole).filter(F.col(identifier) > 0).write.mode("append").parquet(path)

@@ -117,6 +117,12 @@ def write_workbook(path: str, sheets: dict[str, DataFrame], most_rows: int = 200
         book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{relations}">{"".join(related)}</Relationships>')
 
 
+def write_pack(path: str, drivers: DataFrame, sources: DataFrame) -> None:
+    """A report of drivers (with a ``confidence``) and their sources, behind a sheet of totals."""
+    totals = drivers.agg(F.count("*").alias("drivers"), F.round(F.avg("confidence"), 1).alias("mean_confidence"), F.count_if(F.col("confidence").isNull()).alias("without_confidence"))
+    write_workbook(path, {"Summary": totals, "Drivers": drivers.orderBy(F.desc_nulls_last("confidence")), "Sources": sources})
+
+
 def _sheet(grid: list[Sequence[str]]) -> str:
     rows = "".join(
         f'<row r="{r}">' + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(re.sub(r"[^\t\n\r -퟿-�]", "", str(v)))}</t></is></c>' for v in row) + "</row>"
