@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import media, mixing, near_dedup, packing, quality, repeats, sharding, token_files, topk, url_filter
+from tessera.llm import media, mixing, near_dedup, packing, quality, repeats, sharding, superkmers, token_files, topk, url_filter
 from tessera.llm.scratch import new_path
 
 #: The vocabulary of the token queries, and the id that ends a document.
@@ -110,6 +110,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.remove_windows(_table(spark, sf_dir, "documents"), window=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_repeats": op2_repeats,
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_image_copies": op9_image_copies,
     "op10_sharding": op10_sharding,
+    "op13_passages": op13_passages,
 }
 
 SQL: dict[str, str] = {
@@ -235,4 +240,17 @@ SQL: dict[str, str] = {
         select query_id, cast(row_number() over (partition by row_id order by score desc, vec_id nulls last) as int) as rank, vec_id, score
         from s qualify row_number() over (partition by row_id order by score desc, vec_id nulls last) <= 5
     """,
+    "op13_passages": r"""
+        with texts as (
+          select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        windows as (select row_id, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as k from (select *, unnest(range(1, len(w) - 48)) as i from texts)),
+        firsts as (select k, min(coalesce(doc_id, 9223372036854775807)) as first_doc from windows group by k),
+        cut as (select row_id, i from windows join firsts using (k) where first_doc < coalesce(doc_id, 9223372036854775807)),
+        gone as (select distinct row_id, unnest(range(i, i + 50)) as i from cut),
+        kept as (
+          select row_id, string_agg(w[i], ' ' order by i) as body, count(*) as n
+          from (select *, unnest(range(1, len(w) + 1)) as i from texts) anti join gone using (row_id, i) group by row_id)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+        from texts left join kept using (row_id)
+    """,
 }
