@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import media, mixing, near_dedup, packing, quality, repeats, sharding, superkmers, token_files, topk, url_filter
+from tessera.llm import media, mixing, near_dedup, packing, quality, ranked, repeats, sharding, superkmers, token_files, topk, url_filter
 from tessera.llm.scratch import new_path
 
 #: The vocabulary of the token queries, and the id that ends a document.
@@ -110,6 +110,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_windows(_table(spark, sf_dir, "documents"), window=50)
 
@@ -125,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_image_copies": op9_image_copies,
     "op10_sharding": op10_sharding,
+    "op12_ranked_search": op12_ranked_search,
     "op13_passages": op13_passages,
 }
 
@@ -240,6 +245,26 @@ SQL: dict[str, str] = {
         select query_id, cast(row_number() over (partition by row_id order by score desc, vec_id nulls last) as int) as rank, vec_id, score
         from s qualify row_number() over (partition by row_id order by score desc, vec_id nulls last) <= 5
     """,
+    "op12_ranked_search": r"""
+        with texts as (
+          select row_number() over () as row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+          from documents),
+        totals as (select count(*) filter (len(w) > 0) as n_all, cast(sum(len(w)) as bigint) as l_all from texts),
+        items as (
+          select row_number() over () as item_row, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as terms
+          from benchmark),
+        asked as (select item_row, item_id, unnest(terms) as term from items),
+        postings as (
+          select row_id, doc_id, n, term, count(*) as tf
+          from (select row_id, doc_id, len(w) as n, unnest(w) as term from texts) where term in (select term from asked) group by all),
+        weights as (
+          select term, cast(floor(1000 * ln(cast(2 * n_all + 2 as double) / (2 * count(*) + 1))) as bigint) as weight from postings, totals group by term, n_all),
+        scores as (
+          select item_row, item_id, row_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_all) // l_all)))) as bigint) as score
+          from asked join postings using (term) join weights using (term), totals group by all)
+        select item_id, cast(row_number() over best as int) as rank, doc_id, score from scores where score > 0
+        qualify row_number() over best <= 10 window best as (partition by item_row order by score desc, doc_id nulls last)
+    """,
     "op13_passages": r"""
         with texts as (
           select row_number() over () as row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
