@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import media, mixing, near_dedup, packing, quality, ranked, repeats, sharding, superkmers, token_files, topk, url_filter
+from tessera.llm import divergence, media, mixing, near_dedup, packing, quality, ranked, repeats, sharding, superkmers, token_files, topk, url_filter
 from tessera.llm.scratch import new_path
 
 #: The vocabulary of the token queries, and the id that ends a document.
@@ -110,6 +110,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), k=200, least_docs=3)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -129,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_image_copies": op9_image_copies,
     "op10_sharding": op10_sharding,
+    "op11_divergence": op11_divergence,
     "op12_ranked_search": op12_ranked_search,
     "op13_passages": op13_passages,
 }
@@ -245,6 +250,35 @@ SQL: dict[str, str] = {
         select query_id, cast(row_number() over (partition by row_id order by score desc, vec_id nulls last) as int) as rank, vec_id, score
         from s qualify row_number() over (partition by row_id order by score desc, vec_id nulls last) <= 5
     """,
+    "op11_divergence": r"""
+        with texts as (
+          select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+          from documents),
+        said as (select row_id, lang, source, unnest(w) as term from texts),
+        kept as (select lang, term, count(*) as total from said group by lang, term having count(distinct row_id) >= 3),
+        counts as (select lang, source, term, count(*) as n from said semi join kept using (lang, term) group by all),
+        langs as (select lang, count(*) as v, sum(total)::hugeint as lang_n from kept group by lang),
+        sizes as (
+          select g.lang, g.source, coalesce(v, 0) as v, coalesce(lang_n, 0) as lang_n, coalesce(group_n, 0)::hugeint as group_n
+          from (select distinct lang, source from texts) g left join langs using (lang)
+               left join (select lang, source, sum(n) as group_n from counts group by all) s on s.lang = g.lang and s.source = g.source),
+        chances as (
+          select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (s.group_n + s.v) as p,
+                 1 + (1000000000::hugeint * (k.total + 1)) // (s.lang_n + s.v) as q
+          from sizes s join kept k on k.lang = s.lang left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+        summed as (
+          select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+          from chances a join chances b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all),
+        pairs as (
+          select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+          from sizes a join sizes b on b.lang = a.lang and b.source <> a.source left join summed s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+        parts as (
+          select lang, source, 'pair' as part, item, value from pairs
+          union all select lang, source, 'term', term, ((p - q) * (p - q)) // q from chances where n > 0 and p > q)
+        select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over best as int) as rank from parts
+        qualify part = 'pair' or row_number() over best <= 200 window best as (partition by lang, source, part order by value desc, item)
+    """,
     "op12_ranked_search": r"""
         with texts as (
           select row_number() over () as row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
