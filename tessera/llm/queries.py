@@ -277,7 +277,7 @@ SQL: dict[str, str] = {
           select lang, source, 'pair' as part, item, value from pairs
           union all select lang, source, 'term', term, ((p - q) * (p - q)) // q from chances where n > 0 and p > q)
         select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over best as int) as rank from parts
-        qualify part = 'pair' or row_number() over best <= 200 window best as (partition by lang, source, part order by value desc, item)
+        window best as (partition by lang, source, part order by value desc, item) qualify part = 'pair' or row_number() over best <= 200
     """,
     "op12_ranked_search": r"""
         with texts as (
@@ -297,7 +297,7 @@ SQL: dict[str, str] = {
           select item_row, item_id, row_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_all) // l_all)))) as bigint) as score
           from asked join postings using (term) join weights using (term), totals group by all)
         select item_id, cast(row_number() over best as int) as rank, doc_id, score from scores where score > 0
-        qualify row_number() over best <= 10 window best as (partition by item_row order by score desc, doc_id nulls last)
+        window best as (partition by item_row order by score desc, doc_id nulls last) qualify row_number() over best <= 10
     """,
     "op13_passages": r"""
         with texts as (

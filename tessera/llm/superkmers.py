@@ -352,7 +352,8 @@ def remove_windows(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     rows, texts = repeated_windows(docs, window, key, text)
     texts = written(texts, "kmer-spans-of-texts")
     changed = cut_windows(docs, texts.filter("spans is not null").select("text_key", "spans"), window, text).drop("kept_text")
-    texts = texts.select("text_key", "first_doc").join(changed, "text_key", "left")
+    # Written, so that Spark can split the rows of a frequent text in the join that follows.
+    texts = written(texts.select("text_key", "first_doc").join(changed, "text_key", "left"), "kmer-texts-cut")
     out = rows.join(texts, "text_key")
     copy = (F.col("doc") > F.col("first_doc")) & (F.col("n_words") >= window)
     removed = F.when(copy, F.col("n_words")).when(F.col("doc") == F.col("first_doc"), F.col("n_removed"))
