@@ -112,7 +112,8 @@ class Network:
     def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden units of every chunk, and each document's first one."""
         x, blocks = padded(data, bounds)
-        return np.maximum(self.chunks(x, blocks) @ self.hidden + self.hidden_bias, 0), blocks
+        # In 64 bits: what other texts share a batch then changes nothing that rounding leaves.
+        return np.maximum(self.chunks(x, blocks).astype(np.float64) @ self.hidden.astype(np.float64) + self.hidden_bias, 0), blocks
 
     def pooled_long(self, data: np.ndarray) -> np.ndarray:
         """The maxima of one document's hidden units, a piece of about LONG bytes after another.
@@ -120,7 +121,7 @@ class Network:
         A piece has a block more at either end, so that its chunks see what they see in the whole.
         """
         total, per = (len(data) + LAGS + BLOCK - 1) // BLOCK, LONG // BLOCK
-        best = np.zeros((1, HIDDEN), np.float32)
+        best = np.zeros((1, HIDDEN))
         for first in range(0, total, per):
             last, skip = min(first + per, total), int(first > 0)
             body = data[(first - skip) * BLOCK : (last + 1) * BLOCK + WIDTH]
@@ -129,13 +130,13 @@ class Network:
         return best
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The probability of label 1 for each document; the bytes of all documents at once."""
+        """The probability of label 1 for each document, to six decimals; the bytes of all documents at once."""
         if len(bounds) == 2 and len(data) > LONG:
             pooled = self.pooled_long(data)
         else:
             units, blocks = self.units(data, bounds)
             pooled = np.maximum.reduceat(units, blocks[:-1], axis=0)
-        return 1 / (1 + np.exp(-(pooled @ self.out + self.out_bias[0]).astype(np.float64)))
+        return np.round(1 / (1 + np.exp(-(pooled @ self.out.astype(np.float64) + self.out_bias[0]))), 6)
 
     def gradients(self, data: np.ndarray, bounds: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         """Of the weighted mean cross-entropy. Only the chunk that wins a hidden unit passes anything back."""
