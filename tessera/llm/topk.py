@@ -62,19 +62,35 @@ def _packer(per: int) -> Callable:
 PACKED = "part int, block int, dims int, ids binary, table binary, highs binary, lows binary"
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer a @ b.T: in floating point where every sum is below 2**53, else in integers."""
+def product(a: np.ndarray, b: np.ndarray, bound: bool = False) -> np.ndarray:
+    """Exact integer a @ b.T: in floating point where every sum is below 2**53, else in integers.
+
+    A sum beyond 63 bits is an error; a ``bound`` that is too large becomes the largest number.
+    """
     n = min(a.shape[1], b.shape[1])
     a, b = a[:, :n], b[:, :n]
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * n
     if top < 1 << 24:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if top < 1 << 53 else a @ b.T
+    if top < 1 << 53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if top < 1 << 62:
+        return a @ b.T
+    whole = a.astype(object) @ b.astype(object).T
+    if not n or not whole.size:
+        return np.zeros(whole.shape, np.int64)
+    if bound:
+        return np.clip(whole, LOWEST, np.iinfo(np.int64).max).astype(np.int64)
+    if max(whole.max(), -whole.min()) >= 1 << 63:
+        raise OverflowError("a score has more than 63 bits")
+    return whole.astype(np.int64)
 
 
 def bounds(queries: np.ndarray, highs: np.ndarray, lows: np.ndarray) -> np.ndarray:
     """For each query and block (rows of highs and lows) a sum no score in the block exceeds."""
-    return product(np.maximum(queries, 0), highs) + product(np.minimum(queries, 0), lows)
+    above, below = np.maximum(queries, 0), np.minimum(queries, 0)
+    n = min(queries.shape[1], highs.shape[1])
+    return product(np.concatenate((above[:, :n], below[:, :n]), axis=1), np.concatenate((highs[:, :n], lows[:, :n]), axis=1), bound=True)
 
 
 def _better(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -97,8 +113,8 @@ def _searcher(k: int) -> Callable:
     """Rows of one lane: its blocks, then batches of queries (kind 0 and 1), all of one lane together."""
 
     def search(rows: list[dict], queries: dict) -> pa.RecordBatch:
-        q = np.frombuffer(queries["table"], "<i8").reshape(-1, queries["dims"])
         own = np.frombuffer(queries["ids"], "<i8")
+        q = np.frombuffer(queries["table"], "<i8").reshape(len(own), queries["dims"])
         tag = (queries["part"], queries["block"])
         best = np.full((len(q), k), LOWEST)
         names = np.full((len(q), k), np.iinfo(np.int64).max)
@@ -120,7 +136,7 @@ def _searcher(k: int) -> Callable:
             for i in np.unique(chosen[going]):
                 r, open_ = rows[i], np.flatnonzero(going & (chosen == i))
                 ids = np.frombuffer(r["ids"], "<i8")
-                scores = product(q[open_], np.frombuffer(r["table"], "<i8").reshape(-1, r["dims"]))
+                scores = product(q[open_], np.frombuffer(r["table"], "<i8").reshape(len(ids), r["dims"]))
                 if (r["part"], r["block"]) == tag:  # a query's own row is no candidate of its own
                     scores[np.arange(len(open_)), open_] = LOWEST
                 worth = np.flatnonzero(scores.max(axis=1) >= best[open_, -1])
@@ -168,11 +184,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
     id last. A shorter vector counts as padded with zeros. Vectors that are null or hold a null
     or non-finite component take no part. Rows that share an id are rows of their own: a query
     leaves out only itself. With fewer than k other rows there are fewer results; with an empty
-    table none. Components beyond 64-bit integers are not supported.
+    table none. An empty vector scores 0. Components or scores beyond 63 bits are an error.
     """
     finite = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = vectors.filter(F.col(vector).isNotNull()).filter(finite)
-    whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
+    scaled = lambda x: x.cast("double") * F.lit(float(scale))
+    fits = lambda x: F.when(F.abs(scaled(x)) < float(1 << 63), F.floor(scaled(x)).cast("long")).otherwise(F.raise_error(F.lit("a component has more than 63 bits")).cast("long"))
+    whole = F.transform(F.col(vector), fits)
     rows = usable.select(F.col(key).cast("long").alias("id"), whole.alias("values"))
     is_query = F.coalesce(F.pmod(F.col("id"), F.lit(every)) == 0, F.lit(False))
     # Queries fill blocks of their own, so a batch of queries is a block and knows its own rows.
