@@ -43,18 +43,19 @@ def url_keys(url: Column, segments_listed: int | None = None) -> Column:
     segments = F.filter(F.split(part["path"], "/"), lambda x: x != "")
     n = F.size(segments) if segments_listed is None else F.least(F.size(segments), F.lit(segments_listed))
     prefixes = F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(part["host"], F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")).alias("pattern")),
+        F.sequence(F.lit(0), n),
+        lambda i: F.struct(F.lit("prefix").alias("kind"), F.array_join(F.concat(F.array(part["host"]), F.slice(segments, 1, i)), "/").alias("pattern")),
     )
     host = F.array(F.struct(F.lit("host").alias("kind"), part["host"].alias("pattern")))
     return F.concat(host, suffixes, prefixes)
 
 
 def _pattern() -> Column:
-    """An entry's pattern as url_keys() writes it: hosts in lower case, paths as they are."""
+    """An entry's pattern as url_keys() writes it: hosts in lower case, paths as they are, no empty segments."""
     whole = F.trim("pattern")
-    host = F.lower(F.regexp_extract(whole, "^([^/]*)", 1))
-    return F.when(F.col("kind") == "prefix", F.concat(host, F.regexp_extract(whole, "(?s)^[^/]*(.*)", 1))).otherwise(F.lower(whole))
+    parts = F.split(whole, "/")
+    prefix = F.array_join(F.concat(F.array(F.lower(parts[0])), F.filter(F.slice(parts, 2, F.size(parts)), lambda x: x != "")), "/")
+    return F.when(F.col("kind") == "prefix", prefix).otherwise(F.lower(whole))
 
 
 def validity(entries: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_long_texts_score_like_whole_ones(monkeypatch):
         whole = net.scores(data, np.array([0, size]))
         with monkeypatch.context() as m:
             m.setattr(quality, "LONG", 640)
-            assert np.allclose(net.scores(data, np.array([0, size])), whole, rtol=0, atol=1e-9)
+            assert (net.scores(data, np.array([0, size])) == whole).all()
 
 
 def test_gradients():
@@ -179,3 +179,48 @@ def test_copies_meet_among_unrelated_images(spark, monkeypatch, crowd):
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     assert {r.image_id: r.component_id for r in got} == dict(enumerate(label))
+
+
+def plain_score(net, text):
+    """The forward pass written out, byte by byte and chunk by chunk."""
+    x = list(text) + [quality.PAD] * (quality.LAGS + 2 * quality.BLOCK + quality.WIDTH)
+    n = max(1, -(-(len(text) + quality.LAGS) // quality.BLOCK))
+    blocks = []
+    for b in range(n):
+        sums = np.zeros(quality.FILTERS + quality.LAGS)
+        for i in range(b * quality.BLOCK, (b + 1) * quality.BLOCK):
+            if x[i] != quality.PAD:
+                total = net.bias.astype(float).copy()
+                for k in range(quality.WIDTH):
+                    total += net.tables[k][x[i + k]]
+                sums[: quality.FILTERS] += np.maximum(total, 0)
+                for lag in range(1, quality.LAGS + 1):
+                    sums[quality.FILTERS + lag - 1] += i >= lag and x[i] == x[i - lag]
+        blocks.append(sums)
+    chunks = [(a + (blocks[i + 1] if i + 1 < n else 0)) / (2 * quality.BLOCK) for i, a in enumerate(blocks)]
+    pooled = np.max([np.maximum(c @ net.hidden + net.hidden_bias, 0) for c in chunks], axis=0)
+    return 1 / (1 + np.exp(-(pooled @ net.out + net.out_bias[0])))
+
+
+def test_scores_are_the_written_out_pass_in_any_batch():
+    net = quality.Network.fresh(5)
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(0, 256, int(n)).astype(np.uint8)) for n in [0, 1, 63, 64, 65, 200, 700, 1300]] + ["Straße und ñandú. ".encode() * 9]
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    together = net.scores(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    alone = [net.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert together.tolist() == alone
+    assert np.allclose(together, [plain_score(net, t) for t in texts], rtol=0, atol=2e-6)
+
+
+def test_top_k_of_empty_and_large_vectors(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, []), (50, []), (1, [1.0]), (2, [-2.0, 3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, schema).repartition(1), 5).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+    big = [(0, [3e6, -3e6]), (1, [4e6, 4e6]), (2, [-4e12, -4e12])]
+    want = [(0, 1, 1, 0), (0, 2, 2, 0)]
+    assert topk.top_k(spark.createDataFrame(big, schema), 5).collect() == want
+    for bad in ([1e16, 1e16], [1e300]):
+        with pytest.raises(Exception, match="more than 63 bits"):
+            topk.top_k(spark.createDataFrame([(0, bad), (1, bad)], schema), 5).collect()

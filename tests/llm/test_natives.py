@@ -172,3 +172,13 @@ def test_url_prefix_of_many_segments(spark):
     made = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
     logs = spark.createDataFrame(entries, "list_name string, kind string, pattern string, action string, since timestamp_ntz")
     assert {r.page_id: r.first_list for r in url_filter.filter_urls(made, logs).collect()} == {0: "deep", 1: None, 2: "five", 3: None}
+
+
+def test_url_prefix_with_end_slashes_and_of_whole_hosts(spark):
+    day = dt.datetime(2024, 1, 1)
+    entries = [("a", "prefix", "X.com/Ads/", "add", day), ("b", "prefix", "y.com//a///b//", "add", day), ("c", "prefix", "Z.com/", "add", day)]
+    urls = ["https://x.com/Ads/a", "https://x.com/Ads", "https://x.com/Adsy", "https://y.com/a/b/c", "https://y.com/a/bc", "https://z.com", "https://z.com/q", "https://q.z.com/"]
+    spark_entries = spark.createDataFrame(entries, "list_name string, kind string, pattern string, action string, since timestamp_ntz")
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
+    got = {r.page_id: r.first_list for r in url_filter.filter_urls(captures, spark_entries).collect()}
+    assert [got[i] for i in range(len(urls))] == ["a", "a", None, "b", None, "c", "c", None]
