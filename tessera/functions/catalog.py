@@ -52,6 +52,26 @@ CATEGORIES = {
 OBLIGATION = r"(?i)\b(shall|must|required(?:\s+to)?|requires?|mandatory|mandate|mandated)\b"
 HARD_CLAIM = r"(?i)\b(must|required|required to|requires|mandated|mandatory|compliance with|aligned with|align with|alignment with)\b"
 WEAK_TITLE = r"(?i)^(global esg trends|sustainability trends|investor pressure for sustainability|technological advancements|esg investment growth|esg compliance|sustainable supply chain financing)$"
+#: Other names of a country, by what its own name has in it, and of a sector, by a pattern. Fixed values.
+COUNTRY_ALIASES = {
+    "united arab emirates": ["uae", "united arab emirates", "emirati"],
+    "saudi": ["saudi", "saudi arabia", "kingdom of saudi arabia", "ksa"],
+    "kazakhstan": ["kazakhstan", "kazakh"],
+}
+SECTOR_ALIASES = {
+    r"\bbank|banking|financial|finance|lending|credit\b": ["banking", "bank", "banks", "financial sector", "financial institutions", "lenders", "credit"],
+    "construction|cement|building materials|contractor": ["construction", "contractors", "building", "buildings", "cement"],
+    "real estate|property|buildings?|reit": ["real estate", "property", "buildings"],
+    "oil|gas|petroleum|lng|upstream|downstream": ["oil", "gas", "oil and gas", "petroleum", "lng"],
+}
+REGISTRY_SECTOR_ALIASES = {
+    r"\b(bank|banking|financial|finance|lending|credit)\b": ["banking", "banks", "financial sector", "financial institutions", "lenders", "credit", "financed emissions"],
+    r"\b(construction|cement|building materials|contractor|contractors)\b": ["construction", "contractors", "building", "buildings", "cement"],
+    r"\b(real estate|property|buildings?|reit)\b": ["real estate", "property", "buildings", "reit"],
+    r"\b(oil|gas|petroleum|lng|upstream|downstream)\b": ["oil", "gas", "oil and gas", "petroleum", "lng", "methane"],
+}
+#: Words of a sector's name that name no sector. Fixed values.
+SECTOR_STOPWORDS = "and business businesses companies company energy for general group industries industry of other sector services the".split()
 #: Acronyms that a rewrite must keep. Fixed value.
 ACRONYM = r"\b(?:[A-Z]{2,}(?:[-/][A-Z0-9]{1,})*|[A-Z]{1,5}\d+[a-z]?|SBTi|CO2e?|tCO2e)\b"
 #: Month names in Russian, by number. Fixed values.
@@ -103,6 +123,35 @@ def country(text: Column) -> Column:
     return spelled(_plain(text), COUNTRIES)
 
 
+def _forms(items: Column) -> Column:
+    """Names with single spaces between runs of a-z and 0-9, each once."""
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))), lambda x: x != ""))
+
+
+def country_aliases(text: Column, canonical: bool = True) -> Column:
+    """Names under which a text may mention a country: its own (or the supported one's) and known others."""
+    own = F.lower(F.trim(F.coalesce(country(text), text) if canonical else text))
+    listed = lambda key: F.when(own.contains(key) | ((own == "uae") & F.lit(key.startswith("united"))), F.array(*map(F.lit, COUNTRY_ALIASES[key]))).otherwise(F.array().cast("array<string>"))
+    return F.filter(_forms(F.coalesce(F.concat(F.array(own), *map(listed, COUNTRY_ALIASES)), F.array().cast("array<string>"))), lambda x: F.length(x) > 1)
+
+
+def _by_pattern(own: Column, known: dict[str, list[str]]) -> Column:
+    return F.concat(*(F.when(own.rlike(pattern), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for pattern, names in known.items()))
+
+
+def sector_aliases(text: Column) -> Column:
+    """Names under which a text may mention a sector: its own (or the supported one's), the words of that, known others."""
+    own = F.lower(F.trim(F.coalesce(sector(text), text)))
+    words = F.filter(F.split(own, "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(SECTOR_STOPWORDS))
+    return F.filter(_forms(F.coalesce(F.concat(F.array(own), words, _by_pattern(own, SECTOR_ALIASES)), F.array().cast("array<string>"))), lambda x: F.length(x) > 2)
+
+
+def registry_sector_aliases(text: Column) -> Column:
+    """The same as a registry of sources knows them: the sector's own name and known others."""
+    own = F.lower(F.trim(text))
+    return F.filter(_forms(F.coalesce(F.concat(F.array(own), _by_pattern(own, REGISTRY_SECTOR_ALIASES)), F.array().cast("array<string>"))), lambda x: F.length(x) > 2)
+
+
 def sector(text: Column) -> Column:
     """The first supported sector with a word in the text; else null."""
     plain = _plain(text)

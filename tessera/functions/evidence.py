@@ -32,21 +32,31 @@ def bucket(key: Column) -> Column:
 def derived_confidence(average: Column, model: Column, indicator: Column, sources: Column, authoritative: Column, bad_label: Column, bad_metric: Column, weak_title: Column) -> Column:
     """0.55 of the sources' mean score, 0.25 of the model's, points for detail and depth, less penalties.
 
-    At most 96; at least TARGET with an authoritative source and no issue, else at least 35.
+    At most 96; at least TARGET with an authoritative source and no issue, else at least 35. Null
+    numbers are 0 (so is the mean of no source), null flags false, a null indicator is empty.
     """
-    points = lambda test, worth: F.when(test, worth).otherwise(0)
-    raw = F.lit(0.55) * average + F.lit(0.25) * model + points(indicator.rlike(SPECIFIC), 10) + F.least(sources * 5, F.lit(15))
+    number = lambda c: F.coalesce(c, F.lit(0))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    points = lambda test, worth: F.when(flag(test), worth).otherwise(0)
+    raw = F.lit(0.55) * number(average) + F.lit(0.25) * number(model) + points(indicator.rlike(SPECIFIC), 10) + F.least(number(sources) * 5, F.lit(15))
     raw = raw - points(bad_label, 8) - points(bad_metric, 20) - points(weak_title, 8)
-    least = F.when((sources >= 1) & authoritative & ~bad_label & ~bad_metric & ~weak_title, TARGET).otherwise(35)
+    least = F.when((number(sources) >= 1) & flag(authoritative) & ~flag(bad_label) & ~flag(bad_metric) & ~flag(weak_title), TARGET).otherwise(35)
     return F.greatest(least, F.least(F.lit(96), F.floor(raw + 0.5))).cast("int")
 
 
+def verdict_issues(score: Column, recommended: Column) -> Column:
+    """What the two gates of a verdict say of a score and a confidence below TARGET."""
+    said = lambda name, value: F.concat(F.lit(name), F.round(value).cast("int").cast("string"), F.lit(f" is below the required {TARGET}"))
+    low = F.when(score < TARGET, said("quality score ", score)), F.when(recommended < TARGET, said("evidence-grounded confidence ", recommended))
+    return F.filter(F.array(*low), lambda x: x.isNotNull())
+
+
 def route(passed: Column, score: Column, confidence: Column, recommended: Column, issues: Column, augmented: Column, unused_seeds: Column, can_repair: Column, attempts: Column) -> Column:
-    """What follows a verification: accept, augment, repair or fail."""
+    """What follows a verification: accept, augment, repair or fail; fail where there is no verification (``passed`` is null)."""
     accept = passed & (score >= TARGET) & (F.least(confidence, recommended) >= TARGET)
     stronger = (issues > 0) | (recommended < TARGET)
     return (
-        F.when(accept, "accept").when(stronger & (augmented == 0) & (unused_seeds > 0), "augment").when(can_repair & (attempts <= REWRITES), "repair").otherwise("fail")
+        F.when(passed.isNull() | confidence.isNull(), "fail").when(accept, "accept").when(stronger & (augmented == 0) & (unused_seeds > 0), "augment").when(can_repair & (attempts <= REWRITES), "repair").otherwise("fail")
     )
 
 
@@ -55,16 +65,34 @@ def capped_confidence(confidence: Column, has_evidence: Column, grounded: Column
     return F.when(~has_evidence, F.least(confidence, F.lit(60))).when(~grounded, F.least(confidence, F.lit(70))).otherwise(confidence)
 
 
-def transient(status: Column, message: Column) -> Column:
-    """Whether another try may help: by status, else by the message."""
-    by_status = status.isin(408, 409, 425, 429) | status.between(500, 599)
-    return F.coalesce(by_status, F.lit(False)) | F.coalesce(message.rlike("(?i)timeout|timed out|rate limit|overloaded|temporar|socket|network"), F.lit(False))
+#: Errors that end a run, and those that another try may mend: names, codes, phrases. Fixed values.
+TERMINAL_NAMES = ["EsgDriverCandidateRejectedError", "EsgDriverQualityGateError", "EsgResearchBudgetExceededError", "HarnessBudgetExceededError"]
+TRANSIENT_NAMES = ["APIConnectionError", "APIConnectionTimeoutError", "APITimeoutError", "InternalServerError", "RateLimitError", "TimeoutError"]
+TRANSIENT_CODES = ["EAI_AGAIN", "ECONNREFUSED", "ECONNRESET", "ENETDOWN", "ENETUNREACH", "ENOTFOUND", "EPIPE", "ETIMEDOUT"]
+TRANSIENT_WORDS = [
+    "connection error", "connection refused", "connection reset", "connection timed out", "eai_again", "econnrefused", "econnreset", "enetunreach", "enotfound", "epipe", "etimedout",
+    "fetch failed", "gateway timeout", "network error", "rate limited", "rate limit", "request timed out", "service unavailable", "socket hang up", "temporarily unavailable", "too many requests",
+]
+
+
+def transient(chain: Column) -> Column:
+    """Whether another try may help, from an error and its causes (array of struct name, status, code, message).
+
+    Eight links count. A terminal name anywhere ends the run; otherwise a status, name, code or
+    phrase of any link has to say that the failure is passing. Unknown errors and null are not.
+    """
+    links = F.slice(F.coalesce(chain, F.array().cast("array<struct<name:string,status:string,code:string,message:string>>")), 1, 8)
+    status = lambda e: F.when(e["status"].rlike(r"^\d{3}$"), e["status"].cast("int"))
+    words = r"(?i)\b(?:" + "|".join(TRANSIENT_WORDS) + r")\b"
+    passing = lambda e: F.coalesce(status(e).isin(408, 409, 425, 429) | status(e).between(500, 599), F.lit(False)) | F.coalesce(e["name"].isin(TRANSIENT_NAMES), F.lit(False)) | F.coalesce(F.upper(e["code"]).isin(TRANSIENT_CODES), F.lit(False)) | F.coalesce(e["message"].rlike(words), F.lit(False))
+    return ~F.exists(links, lambda e: F.coalesce(e["name"].isin(TERMINAL_NAMES), F.lit(False))) & F.exists(links, passing)
 
 
 def token(text: Column) -> Column:
-    """FNV-1a of the characters' codes in 32 bits, in base 36."""
+    """FNV-1a of the text's UTF-16 units in 32 bits, in base 36."""
     start = F.lit(2166136261).cast("long")
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    codes = F.transform(units, lambda c: F.conv(c, 16, 10).cast("long"))
     mixed = F.aggregate(codes, start, lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619).cast("long"), F.lit(1 << 32)))
     return F.lower(F.conv(mixed.cast("string"), 10, 36))
 

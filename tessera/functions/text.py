@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,20 @@ def has_phrase(text: Column, phrase: Column) -> Column:
     return phrase_form(text).contains(phrase_form(phrase))
 
 
+@lru_cache(maxsize=1)
+def _decomposed_udf():
+    @F.pandas_udf("string")
+    def decomposed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
+
+    return decomposed
+
+
+def words_form(text: Column) -> Column:
+    """Runs of a-z and 0-9 of the compatibility decomposition in lower case, one space between; marks part words."""
+    return F.trim(F.regexp_replace(F.lower(_decomposed_udf()(text)), "[^a-z0-9]+", " "))
+
+
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")

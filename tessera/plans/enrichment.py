@@ -266,14 +266,6 @@ def site_queries(t: Tables) -> DataFrame:
     return rows.select("publisher", "base", F.concat(F.lit("site:"), "publisher", F.lit(".org "), "base").alias("q"))
 
 
-@query("""select event_id, case when cast(json_extract_string(props, '$.k') as int) in (8, 9, 25, 29) or cast(json_extract_string(props, '$.k') as int) between 50 and 59 or event_type = 'error' then true else false end as again from events""")
-def transient_errors(t: Tables) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    status = F.when(k < 50, k + 400).otherwise(k * 10)
-    message = F.when(F.col("event_type") == "error", F.lit("Request timed out")).otherwise(F.lit("bad request"))
-    return t.events.select("event_id", evidence.transient(status, message).alias("again"))
-
-
 @query("""with r as (select l_orderkey as id, l_linenumber as n, 'q' || (l_quantity::int % 4) || ' [' || l_returnflag || ']' as why from lineitem),
           d as (select id, why, min(n) as seen from r group by 1, 2) select id, string_agg(why, '; ' order by seen, why) as summary from (select * from d qualify row_number() over (partition by id order by seen, why) <= 3) group by 1""")
 def rejection_summary(t: Tables) -> DataFrame:
