@@ -14,14 +14,17 @@ def host(url: Column) -> Column:
 def approval_form(url: Column) -> Column:
     """The form in which URLs are approved: http(s), no credentials, fragment or utm parameters.
 
-    Host in lower case without ``www.``, path as it is, without one trailing slash. Null otherwise.
+    Host in lower case without ``www.``, with a port other than the scheme's own, path as it is, the
+    whole without one slash at the end. Null otherwise.
     """
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     query = F.try_parse_url(bare, F.lit("QUERY"))
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike("^utm_")), "&")
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(bare, F.lit("PATH")), F.lit("")), "/$", "")
-    form = F.concat(F.lower(F.try_parse_url(bare, F.lit("PROTOCOL"))), F.lit("://"), host(bare), path, F.when(F.coalesce(kept, F.lit("")) != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
-    return F.when(bare.rlike("^(?i)https?://[^/@]+(/|[?]|$)"), form)
+    kept = F.coalesce(F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike("(?i)^utm_")), "&"), F.lit(""))
+    path = F.coalesce(F.nullif(F.try_parse_url(bare, F.lit("PATH")), F.lit("")), F.lit("/"))
+    scheme, port = F.lower(F.try_parse_url(bare, F.lit("PROTOCOL"))), F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]*?:(\d+)(?:[/?]|$)", 1)
+    shown = F.when((port == "") | (F.concat(scheme, port).isin("http80", "https443")), "").otherwise(F.concat(F.lit(":"), port))
+    form = F.concat(scheme, F.lit("://"), host(bare), shown, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
+    return F.when(bare.rlike("(?i)^https?://[^/@?]+(/|[?]|$)"), F.regexp_replace(form, "/$", ""))
 
 
 def dedup_key(url: Column) -> Column:
@@ -40,15 +43,3 @@ def without_double(url: Column, segment: str = "/events/") -> Column:
     """A path segment written twice in a row, once."""
     twice = segment + segment.lstrip("/")
     return F.replace(url, F.lit(twice), F.lit(segment))
-
-
-def matches(url: Column, kind: Column, value: Column) -> Column:
-    """Whether a URL fits a pattern of kind exact, prefix, contains or host (that host or below)."""
-    form = approval_form(url)
-    return (
-        F.when(kind == "exact", form == value)
-        .when(kind == "prefix", form.startswith(value))
-        .when(kind == "contains", F.lower(form).contains(F.lower(value)))
-        .when(kind == "host", (host(url) == value) | host(url).endswith(F.concat(F.lit("."), value)))
-        .otherwise(F.lit(False))
-    )

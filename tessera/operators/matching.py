@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import urls
-
 #: Words that say nothing about which company is meant. Fixed values.
 LEGAL_FORMS = ["s.a.", "ltd", "inc", "co", "company", "corporation", "limited", "plc", "corp"]
 
@@ -77,17 +75,6 @@ def priority_match(names: DataFrame, companies: DataFrame) -> DataFrame:
     return equal.unionByName(found)
 
 
-def pattern_match(pages: DataFrame, registry: DataFrame, url: str = "url") -> DataFrame:
-    """Every row of ``pages`` with the first registry entry that fits its URL.
-
-    ``registry`` (a list of a few hundred entries: ordinal, record_id, kind, value) is a fixed
-    list, so each URL is tested against all of it in place, without a join or a shuffle.
-    """
-    entries = registry.orderBy("ordinal").collect()
-    found = F.coalesce(*(F.when(urls.matches(F.col(url), F.lit(e["kind"]), F.lit(e["value"])), F.lit(e["record_id"])) for e in entries))
-    return pages.withColumn("record_id", found)
-
-
 def publisher(pages: DataFrame, policy: DataFrame, host: str = "host") -> DataFrame:
     """The policy (domain, label) of the longest domain that is the host or a suffix of it.
 

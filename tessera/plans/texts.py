@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, metrics, text, urls
-from tessera.operators import listing, matching, scoring
+from tessera.operators import listing, matching, registry, scoring
 from tessera.plans.registry import AS_OF, Tables, query
 from tessera.sources import html
 
@@ -29,11 +29,11 @@ def url_dedup(t: Tables) -> DataFrame:
     return listing.latest(keyed, ["dedup_key"], [F.col("page_id")])
 
 
-@query(f"""select page_id, case when host = 'blog.example.org' then 'r1' when host like '%.example.org' then 'r2' when contains(lower(form), '/fr/') then 'r3' when starts_with(form, 'https://m.') then 'r4' end as record_id from {_APPROVED}""")
+@query(f"""select page_id, case when host = 'blog.example.org' then 'r1' when host like '%.example.org' then 'r2' when contains(form, '/fr') then 'r3' when starts_with(form, 'https://m.') then 'r4' end as record_id from {_APPROVED}""")
 def url_pattern_match(t: Tables) -> DataFrame:
     entries = [(1, "r1", "exact", "https://blog.example.org"), (2, "r2", "host", "example.org"), (3, "r3", "contains", "/fr/"), (4, "r4", "prefix", "https://m.")]
-    registry = t.spark.createDataFrame(entries, "ordinal int, record_id string, kind string, value string")
-    return matching.pattern_match(t.pages, registry).select("page_id", "record_id")
+    known = t.spark.createDataFrame(entries, "ordinal int, record_id string, kind string, value string")
+    return registry.pattern_match(t.pages, known).select("page_id", "record_id")
 
 
 @query(f"""with p as (select * from (values ('example.com', 'com'), ('example.net', 'net'), ('org', 'org'), ('example.org', 'example org')) as v(domain, label)),

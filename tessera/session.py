@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +22,14 @@ def session(master: str | None = None, name: str = "tessera", **settings: str) -
     for key, value in {**SETTINGS, **{k.replace("_", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder the cluster shares, so that loops don't grow its plan."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
