@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import written
+from tessera.llm.scratch import copies, written
 
 #: What separates words: ASCII space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -154,9 +154,12 @@ def plan_mix(
         F.when(F.col("part") > 0, F.pmod(F.col("part_quota"), F.col("part"))).otherwise(F.lit(0)).alias("rest"),
         first.cast("long").alias("first"),
     )
+    # Rows that are equal in all that counts are laid out as one and then get their places.
     laid = Window.partitionBy("source", "shard").orderBy("draw", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("lo", F.coalesce(F.sum("size").over(laid), F.lit(0)))
+    rows = rows.groupBy("key", "source", "size", "draw", "source_size", "target", "shard").agg(F.count("*").alias("_m"))
+    rows = rows.withColumn("lo", F.coalesce(F.sum(F.col("size") * F.col("_m")).over(laid), F.lit(0)))
     rows = rows.join(parts, rows["source"].eqNullSafe(parts["_source"]) & (rows["shard"] == parts["_shard"]))
+    rows = copies(rows, "_m", "_i").withColumn("lo", F.col("lo") + F.col("_i") * F.col("size"))
 
     # The run [first, first + rest) on a ring of `part` words, met with [lo, lo + size):
     # once as it lies, once shifted back by a turn.

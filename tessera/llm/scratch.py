@@ -56,6 +56,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * 16 * len(df.columns) <= BROADCAST_BYTES else df
 
 
+#: Copies of a row that are listed at once.
+COPIES = 4096
+
+
+def copies(df: DataFrame, count: str, number: str) -> DataFrame:
+    """Every row ``count`` times, with ``number`` from 0 on instead of the count; lists of COPIES at most are made."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {COPIES}"))).alias("_part")
+    cut = F.sequence(F.col("_part") * COPIES, F.least(F.col(count), (F.col("_part") + 1) * COPIES) - 1)
+    return df.select("*", part).withColumn(number, F.explode(cut)).drop("_part", count)
+
+
 #: Bytes of texts in one Arrow batch.
 BATCH_BYTES = 4 << 20
 

@@ -182,3 +182,20 @@ def test_url_prefix_with_end_slashes_and_of_whole_hosts(spark):
     captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
     got = {r.page_id: r.first_list for r in url_filter.filter_urls(captures, spark_entries).collect()}
     assert [got[i] for i in range(len(urls))] == ["a", "a", None, "b", None, "c", "c", None]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4095, 4096, 4097, 9000])
+def test_equal_rows_are_laid_out_once(spark, n):
+    """Many equal rows: every one has its own slot, and the mix takes what a ring of them gives."""
+    rows = [(None, "", "a", None, n)] * n + [(i, f"w{i} x", "a", 5, i) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, size int").repartition(3)
+    got = sharding.shard(docs).collect()
+    assert len(got) == n + 20
+    for shard in {r.shard for r in got}:
+        own = sorted(r.slot for r in got if r.shard == shard)
+        assert own == list(range(len(own)))
+    said = spark.createDataFrame([(None, "one two three", "a")] * n + [(1, "x " * 30, "a")], "doc_id long, text string, source string")
+    plan = mixing.plan_mix(said).collect()
+    assert len(plan) == n + 1 and all(0 <= r.taken <= 2 * r.size for r in plan)
+    total = sum(r.size for r in plan)
+    assert abs(sum(r.taken for r in plan) - plan[0].target) <= max(1, total // 1000) and plan[0].target == pytest.approx(1.5 * total)
