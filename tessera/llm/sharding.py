@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import copies
+
 #: Records per cell, on average, when slots are numbered.
 ROWS_PER_CELL = 4096
 
@@ -49,21 +51,22 @@ def with_slots(df: DataFrame, group: str, order: Sequence[Column], slot: str = "
     """Number the rows of each group from 0 without a gap, in the order of cells and ``order``.
 
     Rows that ``order`` cannot tell apart are interchangeable. The number of cells follows
-    the row count, so no window partition grows with the table; rows with equal first
-    order keys meet in one cell only if all order keys are equal.
+    the row count, so no window partition grows with the table. Rows equal in all columns are
+    counted before they meet and get their numbers afterwards.
     """
     if cells is None:
         cells = max(1, df.count() // ROWS_PER_CELL)
-    cell = F.pmod(F.xxhash64(*order), F.lit(cells))
-    df = df.withColumn("_cell", cell)
-    counts = df.groupBy(group, "_cell").agg(F.count("*").alias("_n"))
+    names = df.columns
+    rows = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells))).groupBy(*names, "_cell").agg(F.count("*").alias("_m"))
+    counts = rows.groupBy(group, "_cell").agg(F.sum("_m").alias("_n"))
     before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         F.col(group).alias("_g"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order)))
+    inside = Window.partitionBy(group, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("_rank", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
     joined = ranked.join(offsets, ranked[group].eqNullSafe(offsets["_g"]) & (ranked["_cell"] == offsets["_c"]), "left")
-    return joined.withColumn(slot, F.col("_before") + F.col("_rank") - 1).drop("_cell", "_rank", "_g", "_c", "_before")
+    return copies(joined, "_m", "_i").select(*names, (F.col("_before") + F.col("_rank") + F.col("_i")).alias(slot))
 
 
 def shard(
