@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import catalog, evidence, text
-from tessera.operators import claims
+from tessera.operators import claims, publishers
 from tessera.plans.registry import Tables, query
 
 #: The tables' texts are invented words; some stand for words of obligations, a country and sectors.
@@ -210,3 +210,47 @@ def confidence_without_sources(t: Tables) -> DataFrame:
     checked = F.when(F.col("id") % 9 != 0, F.lit(True))
     way = evidence.route(checked, F.lit(90), F.col("confidence"), F.lit(80), F.lit(0), F.lit(0), F.lit(0), F.col("id") % 2 == 0, F.lit(1))
     return found.select("id", "confidence", way.alias("route"))
+
+
+_LABELS = ["UNFCCC - NDC Registry", "IEA – World Energy Outlook", "Central Bank of the UAE", "Acme Institute — Yearly Review", "World Bank Group", "", "ÉCB - Bulletin", "World Banking Review"]
+_IDENTITIES = ["unfccc", "iea", "central-bank-uae", "publisher:acme institute", "world-bank", "", "publisher:e cb", "publisher:world banking review"]
+_NAMED = ["United Nations Framework Convention on Climate Change", "International Energy Agency", "CBUAE", "acme institute", "World Bank", "Source 1", "ecb", "regulatory body"]
+#: Places in _LABELS that each of _NAMED is matched to.
+_MATCHED = [[0], [1], [2], [3], [4], [], [], []]
+
+
+def _citations(t: Tables) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))
+    rows = t.lineitem.withColumn("link", nth).filter(F.col("link") <= F.col("l_partkey") % 5)
+    return rows.select(F.col("l_partkey").alias("driver_id"), "link", F.array(*map(F.lit, _LABELS))[(F.col("l_suppkey") % len(_LABELS)).cast("int")].alias("label"))
+
+
+@query(f"""
+    with cited as (select l_partkey as id, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as link, (l_suppkey % {len(_LABELS)})::int as k from lineitem qualify link <= l_partkey % 5),
+    drivers as (
+      select p_partkey as id, case when p_partkey % 3 = 0 then coalesce((select list(distinct ({_LABELS})[k + 1]) from cited c where c.id = p_partkey and k <> 5), []) else [({_NAMED})[p_partkey % {len(_NAMED)} + 1], ({_LABELS})[p_partkey % 5 + 1]] end as named,
+             p_partkey % 3 = 0 as same, (p_partkey % {len(_NAMED)})::int as a, (p_partkey % 5)::int as b from part),
+    found as (
+      select d.id, same, a, b, named, list(distinct k) filter (k <> 5) as ks, bool_or(k = 5) as unlabelled from drivers d left join cited c on c.id = d.id group by all),
+    matched as (
+      select *, coalesce(ks, []) as labels, case when same then coalesce(ks, []) else list_distinct(list_concat(list_filter(({_MATCHED})[a + 1], lambda k: list_contains(coalesce(ks, []), k)), list_filter([b], lambda k: list_contains(coalesce(ks, []), k)))) end as hit,
+             case when same then true else len(list_filter(({_MATCHED})[a + 1], lambda k: list_contains(coalesce(ks, []), k))) > 0 and list_contains(coalesce(ks, []), b) end as all_known from found)
+    select id as driver_id, array_to_string(list_filter([case when not same and a in (5, 7) then 'generic key source label used' end, case when unlabelled then 'one or more linked sources lack an approved publisher label' end,
+           case when not (list_sort(list_distinct(named)) = list_sort(list_transform(labels, lambda k: ({_LABELS})[k + 1])) and all_known and list_sort(hit) = list_sort(labels)) then 'key sources do not exactly match cited approved publisher labels' end], lambda x: x is not null), '|') as issues from matched""")
+def key_source_agreement(t: Tables) -> DataFrame:
+    """Sources that drafts name against the approved labels of those they cite."""
+    k, none = F.col("p_partkey"), F.array().cast("array<string>")
+    links = _citations(t)
+    own = links.filter("label != ''").groupBy("driver_id").agg(F.collect_set("label").alias("own"))
+    pick = lambda values, n: F.array(*map(F.lit, values))[(k % n).cast("int")]
+    drivers = t.part.join(own, k == F.col("driver_id"), "left").select(k.alias("driver_id"), F.when(k % 3 == 0, F.coalesce("own", none)).otherwise(F.array(pick(_NAMED, len(_NAMED)), pick(_LABELS, 5))).alias("key_sources"))
+    found = publishers.key_source_issues(drivers, links, publishers.alias_groups(t.spark))
+    return found.select("driver_id", F.array_join("issues", "|").alias("issues"))
+
+
+@query(f"""select l_orderkey, l_linenumber, nullif(({_IDENTITIES})[l_suppkey % {len(_LABELS)} + 1], '') as identity from lineitem""")
+def publisher_identity(t: Tables) -> DataFrame:
+    """The identity behind each label of a cited source."""
+    label = F.nullif(F.array(*map(F.lit, _LABELS))[(F.col("l_suppkey") % len(_LABELS)).cast("int")], F.lit(""))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", label.alias("label"))
+    return rows.join(publishers.identities(rows, publishers.alias_groups(t.spark)), "label", "left").select("l_orderkey", "l_linenumber", "identity")
