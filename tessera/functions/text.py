@@ -165,7 +165,17 @@ def clauses(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def humanised(key: Column) -> Column:
-    """``snake_case`` and ``camelCase`` as words, each with a capital."""
-    spaced = F.regexp_replace(F.regexp_replace(key, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " ")
-    return F.initcap(F.trim(spaced))
+#: Endings of keys that name a language, and words of keys in capitals. Fixed values.
+LANGUAGE_ENDINGS = {"_ru": "RU", "_kk": "KK", "_kz": "KK", "_uz": "UZ", "_oz": "UZ", "_en": "EN"}
+CAPITALS = "id url bin tin iin kpp ogrn esg gri tcfd sasb issb msci cdp ip ftp smtp html json xml csv pdf kz uz ru".split()
+
+
+def key_label(key: Column) -> Column:
+    """A key of a record as words: the first with a capital, the others in lower case, acronyms in capitals, its language behind."""
+    ending = F.coalesce(*(F.when(key.endswith(e) & (F.length(key) > len(e)), F.lit(e)) for e in LANGUAGE_ENDINGS), F.lit(""))
+    tag = F.coalesce(*(F.when(ending == e, F.lit(f" ({tag})")) for e, tag in LANGUAGE_ENDINGS.items()), F.lit(""))
+    bare = F.substr(key, F.lit(1), F.length(key) - F.length(ending))
+    words = F.filter(F.split(F.replace(bare, F.lit("-"), F.lit("_")), "_"), lambda w: w != "")
+    words = F.when(F.size(words) > 0, words).otherwise(F.array(bare))
+    shown = lambda w, i: F.when(F.lower(w).isin(CAPITALS), F.upper(w)).when(i == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))).otherwise(F.lower(w))
+    return F.concat(F.array_join(F.transform(words, shown), " "), tag)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import catalog, evidence, metrics, variants
 from tessera.functions.dates import previous_week
+from tessera.operators import views
 from tessera.plans.registry import Tables, query
 
 _COUNTRIES = ["UAE; ksa", "Global", "and Kazakhstan,UZ, UZ,", "Qatar; sa", "", "Kingdom of Saudi-Arabia", "Republic of  Kazakhstan"]
@@ -200,15 +201,59 @@ def _raw(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(lots.alias("_lots"), buyer.alias("buyer_info"), steps.alias("steps"), F.lit("x").alias("flat"))).alias("json"))
 
 
-@query("select o_orderkey as id, 'Buyer Info' as title, '3 fields' as summary from orders union all select o_orderkey, 'Steps', '2 items' from orders where o_orderkey % 3 = 0")
+@query("select o_orderkey as id, 'Buyer info' as title, '3 fields' as summary from orders union all select o_orderkey, 'Steps', '2 items' from orders where o_orderkey % 3 = 0")
 def json_sections(t: Tables) -> DataFrame:
     """Nested parts of raw JSON records with their sizes."""
-    return variants.sections(_raw(t), "id", "json")
+    return variants.sections(_raw(t), "id", "json").drop("field")
 
 
 @query("""select o_orderkey as id, unnest(['_lots', '_lots/0', '_lots/0/n', 'buyer_info', 'buyer_info/id', 'buyer_info/orderRank', 'flat']) as path, unnest(['sequence', 'mapping', 'scalar', 'mapping', 'scalar', 'scalar', 'scalar']) as kind,
-          unnest(['Lots', 'Item 1', 'N', 'Buyer Info', 'Id', 'Order Rank', 'Flat']) as title, unnest([null, null, o_orderkey::varchar, null, o_custkey::varchar, o_orderpriority, 'x']) as value from orders
+          unnest(['Lots', 'Item 1', 'N', 'Buyer info', 'ID', 'OrderRank', 'Flat']) as title, unnest([null, null, o_orderkey::varchar, null, o_custkey::varchar, o_orderpriority, 'x']) as value from orders
           union all select o_orderkey, unnest(['steps', 'steps/0', 'steps/0/name', 'steps/1', 'steps/1/name']), unnest(['sequence', 'mapping', 'scalar', 'mapping', 'scalar']), unnest(['Steps', o_orderstatus, 'Name', 'z', 'Name']), unnest([null, null, o_orderstatus, null, 'z']) from orders where o_orderkey % 3 = 0""")
 def json_tree(t: Tables) -> DataFrame:
     """Raw JSON records as nodes to show, without empty ones."""
     return variants.presented(_raw(t), "id", "json")
+
+
+def _notices(t: Tables) -> DataFrame:
+    """Orders as raw notices of four sources."""
+    k = F.col("o_orderkey")
+    source = F.array(*map(F.lit, ["goszakup", "mitwork", "zakup_unified", "ets_tender"]))[(k % 4).cast("int")]
+    number = F.when(k % 3 == 0, "").when(k % 3 == 1, k.cast("string"))
+    detail = F.when(k % 4 == 1, F.struct(F.lit("").alias("value_text"), F.concat(F.lit("s"), (k % 7).cast("string")).alias("offer_start_text"), F.lit("T").alias("title_ru_detail")))
+    status = F.when(k % 4 == 2, F.struct(F.col("o_orderstatus").alias("name"), (k % 2).alias("code")))
+    whole = F.struct(
+        number.alias("announcement_number"), k.alias("announcement_id"), k.alias("id"), F.col("o_orderstatus").alias("status_text"), F.col("o_custkey").cast("string").alias("value_text"), F.col("o_orderpriority").alias("title_ru"),
+        F.col("o_orderpriority").alias("name"), detail.alias("detail_fields"), status.alias("status"), F.array(F.struct(F.lit(1).alias("n"))).alias("_lots"),
+    )
+    return t.orders.select(k.alias("id"), source.alias("source"), F.to_json(whole).alias("json"))
+
+
+@query("""
+    with o as (select o_orderkey as id, (o_orderkey % 4)::int as s, (o_orderkey % 3)::int as m, o_orderkey::varchar as k, o_orderstatus as status, o_orderpriority as p, o_custkey::varchar as c from orders),
+    plain as (select id, unnest(list_filter([case when m = 1 then {'l': 'Announcement number', 'v': k} end, {'l': 'Announcement ID', 'v': k}, {'l': 'ID', 'v': k}, {'l': 'Status text', 'v': status}, {'l': 'Value text', 'v': c}, {'l': 'Title (RU)', 'v': p}, {'l': 'Name', 'v': p}], lambda x: x is not null)) as x,
+                     unnest(range(case when m = 1 then 7 else 6 end)) as place from o where s = 3),
+    shown as (
+      select id, 'eyebrow' as part, 0 as place, 'eyebrow' as label, (['Портал государственных закупок', 'Eurasian Electronic Portal', 'Unified Procurement Portal of Kazakhstan', 'ETS-Tender'])[s + 1] as value from o
+      union all select id, 'heading', 0, 'heading', case s when 0 then 'Просмотр объявления № ' || case when m = 0 then '' else k end when 1 then 'Закупка № ' || case when m = 1 then k else '' end when 2 then 'Объявление № ' || case when m = 0 then '' else k end else k end from o
+      union all select id, 'subtitle', 0, 'subtitle', case s when 1 then 'T' when 0 then null else p end from o
+      union all select id, 'status', 0, 'status', case when s = 3 then '' else status end from o
+      union all select id, 'cards', 0, 'Номер объявления', k from o where s = 0 and m = 1 union all select id, 'cards', 1, 'Статус', status from o where s = 0
+      union all select id, 'cards', 0, 'Начало приема', 's' || (id % 7) from o where s = 1 union all select id, 'Основные данные', 0, 'Номер закупки', k from o where s = 1 and m = 1 union all select id, 'Основные данные', 2, 'Наименование (RU)', 'T' from o where s = 1
+      union all select id, 'cards', 2, 'Лоты', '1' from o where s = 2 union all select id, 'cards', 3, 'Код статуса', (id % 2)::varchar from o where s = 2 union all select id, 'Данные объявления', 0, 'ID объявления', k from o where s = 2
+      union all select id, 'Данные объявления', 2, 'Номер объявления', k from o where s = 2 and m = 1 union all select id, 'Данные объявления', 3, 'Наименование', p from o where s = 2
+      union all select id, 'Source profile', place, x.l, x.v from plain union all select id, 'cards', place, x.l, x.v from plain where place < 4)
+    select id, part, place::int as place, label, value from shown""")
+def source_views(t: Tables) -> DataFrame:
+    """What is shown of raw notices of four sources, by the table of fields."""
+    return views.source_views(_notices(t))
+
+
+@query("""
+    with o as (select o_orderkey as id, (o_orderkey % 4)::int as s, (o_orderkey % 3)::int as m, o_orderkey::varchar as k, o_orderstatus as status, o_orderpriority as p, o_custkey::varchar as c from orders)
+    select id, 'Identity' as bucket, 'announcement_number' as field, 'Announcement number' as label, k as value from o where m = 1 union all select id, 'Identity', 'announcement_id', 'Announcement ID', k from o
+    union all select id, 'Identity', 'id', 'ID', k from o union all select id, 'Process', 'status_text', 'Status text', status from o union all select id, 'Commercial', 'value_text', 'Value text', c from o
+    union all select id, 'Identity', 'title_ru', 'Title (RU)', p from o union all select id, 'Identity', 'name', 'Name', p from o""")
+def json_groups(t: Tables) -> DataFrame:
+    """Scalar fields of raw notices in the groups in which they are shown."""
+    return variants.groups(_notices(t), "id", "json")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import evidence
+from tessera.functions import evidence, variants
 from tessera.operators import joins
 from tessera.plans.registry import AS_OF, Tables, query
 from tessera.plans.relational import _LIKES, likes, users
@@ -170,15 +170,16 @@ def json_pretty_buckets(t: Tables) -> DataFrame:
     return fields.groupBy(evidence.bucket(F.col("key")).alias("bucket")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("records"))
 
 
-@query("select o_orderkey as id, o_custkey as lot, o_orderkey % 7 as amount from orders union all select o_orderkey, 0, null from orders where o_orderkey % 2 = 0")
+@query("select o_orderkey as id, o_custkey as lot, o_orderkey % 7 as amount from orders where o_orderkey % 5 > 0 union all select o_orderkey, 0, null from orders where o_orderkey % 2 = 0 and o_orderkey % 5 > 0")
 def json_records(t: Tables) -> DataFrame:
-    """The records of an array below one key of a raw JSON record; what is no array has none."""
-    first = F.struct(F.col("o_custkey").alias("lot"), (F.col("o_orderkey") % 7).alias("amount"))
-    second = F.struct(F.lit(0).cast("long").alias("lot"), F.lit(None).cast("long").alias("amount"))
-    lots = F.when(F.col("o_orderkey") % 2 == 0, F.array(first, second)).otherwise(F.array(first))
-    raw = t.orders.select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(lots.alias("_lots"))).alias("json"))
-    parsed = F.from_json(F.get_json_object("json", "$._lots"), "array<struct<lot: long, amount: long>>")
-    return raw.select("id", F.inline(parsed))
+    """The records in an array below one key of a raw JSON record, among other items; what is no array has none."""
+    k = F.col("o_orderkey").cast("string")
+    item = F.concat(F.lit('{"lot":'), F.col("o_custkey").cast("string"), F.lit(',"amount":'), (F.col("o_orderkey") % 7).cast("string"), F.lit("}"))
+    more = F.when(F.col("o_orderkey") % 2 == 0, F.lit(',{"lot":0},"x",[{"lot":9}]')).otherwise(F.lit(",null"))
+    listed = F.concat(F.lit("[1,"), item, more, F.lit("]"))
+    raw = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"k":'), k, F.lit(',"_lots":'), F.when(F.col("o_orderkey") % 5 > 0, listed).otherwise('{"lot":1}'), F.lit("}")).alias("json"))
+    found = variants.records_below(raw, "id", "json", "_lots")
+    return found.select("id", F.try_variant_get("item", "$.lot", "long").alias("lot"), F.try_variant_get("item", "$.amount", "long").alias("amount"))
 
 
 @query("""select o_orderkey as id, unnest(list_concat(['p' || (o_custkey % 5)], ['t' || (o_custkey % 3), 't9'])) as mark from orders""")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import catalog, variants
+from tessera.operators import views
 from tessera.sources import tables, workbook
 
 
@@ -39,13 +40,45 @@ def test_links_and_lines(spark):
 
 
 def test_json_of_any_shape(spark):
-    rows = [(1, '{"list":[[1],{"id":7,"empty":{}}],"tags":["a"],"gone":[],"note":" "}'), (2, "no json"), (3, None), (4, "[1]"), (5, "{}"), (6, "null")]
+    rows = [
+        (1, '{"list":[[1],"",{"id":7,"empty":{}},{"name":" ","a":{"b":[1,{"c":{"d":{"e_ru":[0]}}}]}}],"tags":["a"],"gone":[],"note":" ","detail_fields":{"x":{}},"__hidden":1,"buyer_name":"b","total_sum":null}'),
+        (2, "no json"), (3, None), (4, "[1]"), (5, "{}"), (6, "null"),
+    ]
     records = spark.createDataFrame(rows, "k int, json string")
     nodes = {(r.k, r.path): (r.kind, r.title, r.value) for r in variants.presented(records, "k", "json").collect()}
-    assert set(nodes) == {(1, p) for p in ("list", "list/0", "list/1", "list/1/id", "tags")}
-    assert nodes[1, "list/1"] == ("mapping", "7", None)
-    assert nodes[1, "tags"] == ("scalar_list", "Tags", '["a"]')
-    assert [tuple(r) for r in variants.sections(records, "k", "json").collect()] == [(1, "List", "2 items")]
+    deep = "list/2/a/b/1/c/d/e_ru"
+    paths = ["list", "list/0", "list/1", "list/1/id", "list/2", "list/2/a", "list/2/a/b", "list/2/a/b/0", "list/2/a/b/1", "list/2/a/b/1/c", "list/2/a/b/1/c/d", deep, "tags", "detail_fields", "__hidden", "buyer_name"]
+    assert set(nodes) == {(1, p) for p in paths}
+    assert nodes[1, "list/0"] == ("scalar", "Item 1", "[1]") and nodes[1, "list/1"] == ("mapping", "7", None) and nodes[1, "list/2"] == ("mapping", "Item 3", None)
+    assert nodes[1, "tags"] == ("scalar_list", "Tags", '["a"]') and nodes[1, deep] == ("scalar_list", "E (RU)", "[0]") and nodes[1, "list/2/a/b/0"] == ("scalar", "Item 1", "1")
+    assert sorted(tuple(r) for r in variants.sections(records, "k", "json").collect()) == [(1, "detail_fields", "Announcement profile", "1 fields"), (1, "list", "List", "4 items")]
+    assert [tuple(r) for r in variants.groups(records, "k", "json").collect()] == [(1, "Additional facts", "tags", "Tags", '["a"]')]
+    assert variants.records_below(records, "k", "json", "list").count() == 2 and variants.records_below(records, "k", "json", "tags").count() == 0
+
+
+def test_source_views(spark):
+    rows = [
+        (1, "goszakup", '{"announcement_number":"","announcement_id":5,"status_text":"open","amount_text":" ","organizer_text":"O","announcement_lots":[1],"_announcement_lots":[{"n":1}],"_lots":[{"n":2}]}'),
+        (2, "mitwork", '{"data_key":9,"title_ru":"T","value_text":"1","detail_fields":{"value_text":"","title_ru_detail":null,"offer_start_text":"s"}}'),
+        (3, "zakup_unified", '{"id":3,"status":{"name":"N","code":0},"organizer":{"id":8,"address":{"a":1}},"_lots":[{"x":1},2]}'),
+        (4, "ets_tender", '{"zeta":1,"_x":2,"alpha_id":"a","empty":"","list":[1],"d":true,"e":1.5,"f":"6"}'),
+        (5, "unknown", '{"id":1}'), (6, "goszakup", "no json"), (7, None, "{}"), (8, "tendersinfo", "{}"),
+    ]
+    records = spark.createDataFrame(rows, "id int, source string, json string")
+    got = {}
+    for r in views.source_views(records).collect():
+        got.setdefault(r.id, {}).setdefault(r.part, []).append((r.place, r.label, r.value))
+    one = {k: [x[1:] for x in sorted(v)] for k, v in got[1].items()}
+    assert one["heading"] == [("heading", "Просмотр объявления № ")] and one["cards"] == [("Статус", "open")] and one["Организатор"] == [("Организатор", "O")]
+    two = {k: [x[1:] for x in sorted(v)] for k, v in got[2].items()}
+    assert two["heading"] == [("heading", "Закупка № 9")] and two["subtitle"] == [("subtitle", "T")] and two["cards"] == [("Начало приема", "s")] and two["Основные данные"] == [("Внутренний ID", "9"), ("Наименование (RU)", "T")]
+    three = {k: [x[1:] for x in sorted(v)] for k, v in got[3].items()}
+    assert three["cards"] == [("Лоты", "1"), ("Код статуса", "0")] and three["status"] == [("status", "N")] and ("Адрес", '{"a":1}') in three["Организатор"]
+    four = {k: [x[1:] for x in sorted(v)] for k, v in got[4].items()}
+    assert four["cards"] == [("Zeta", "1"), ("Alpha ID", "a"), ("D", "true"), ("E", "1.5")] and len(four["Source profile"]) == 5 and four["heading"] == [("heading", "ets_tender")]
+    assert set(got) == {1, 2, 3, 4, 8} and {k: v[0][2] for k, v in got[8].items()} == {"eyebrow": "TendersInfo", "heading": "tendersinfo", "subtitle": "", "status": ""}
+    lots = {(r.id, r.place): r.item for r in views.source_lots(records).collect()}
+    assert lots == {(1, 0): '{"n":2}', (3, 0): '{"x":1}'}
 
 
 def test_append_leaves_out_bad_identifiers(spark, tmp_path):

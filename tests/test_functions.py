@@ -38,7 +38,8 @@ def test_text(value):
     assert value(text.colour_index(t), t="ab") == (97 * 31 + 98) % 8
     assert value(text.needs_translation(t), t="Привет это длинный русский текст") is True
     assert value(text.needs_translation(t), t="English text") is False
-    assert value(text.humanised(t), t="buyerName_total") == "Buyer Name Total"
+    assert value(text.key_label(t), t="buyerName_TOTAL_id") == "BuyerName total ID"
+    assert value(text.key_label(t), t="title-of_ru") == "Title of (RU)" and value(text.key_label(t), t="_ru") == "RU" and value(text.key_label(t), t="") == ""
     assert value(text.display_name(F.lit(" "), F.lit(None), F.lit("ann@x.org"))) == "ann"
     assert value(text.display_name(F.lit(None), F.lit(None), F.lit(None))) == "User"
     assert value(text.unique_strings(F.array(*map(F.lit, [" a", "b", "a", ""])))) == ["a", "b"]
