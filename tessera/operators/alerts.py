@@ -27,13 +27,23 @@ def new_content(prefs: DataFrame, content: DataFrame, sent: DataFrame, as_of: Co
     """user_id, content_id, rank: fresh content of each preference's source with one of its keywords.
 
     ``prefs`` has user_id, source, keywords; ``content`` content_id, source, title, created_at.
-    What was sent (user_id, content_id) stays out; ``most`` a user and source, newest first. The
-    join is by source; keywords are tested on joined rows.
+    What was sent (user_id, content_id) stays out; ``most`` a user and source, newest first. Without
+    keywords (an empty list) all titles fit, with null for keywords none.
+
+    Many users ask for the same: content is tested and ranked once for each source and set of keywords,
+    as far down as any of its users can need, which is ``most`` and the fresh content that they were sent.
     """
-    fresh = content.filter(F.col("created_at") > as_of - F.expr(f"interval {lookback}"))
-    met = prefs.join(fresh, "source").filter((F.size("keywords") == 0) | any_keyword(F.col("title"), F.col("keywords")))
-    left = met.join(sent.select("user_id", "content_id"), ["user_id", "content_id"], "left_anti")
-    top = ranked(left, ["user_id", "source"], [F.desc("created_at"), F.col("content_id")])
+    fresh = content.filter(F.col("created_at") > as_of - F.expr(f"interval {lookback}")).select("content_id", "source", "title", "created_at")
+    words = F.array_sort(F.array_distinct(F.transform("keywords", lambda k: F.lower(k))))
+    asked = prefs.filter("keywords is not null").select("user_id", "source", words.alias("words"))
+    had = sent.select("user_id", "content_id").distinct().join(fresh.select("content_id"), "content_id", "left_semi")
+    known = had.groupBy("user_id").agg(F.count("*").alias("had"))
+    wanted = asked.join(known, "user_id", "left").groupBy("source", "words").agg((F.coalesce(F.max("had"), F.lit(0)) + most).alias("deep"))
+    met = wanted.join(fresh, "source").filter((F.size("words") == 0) | any_keyword(F.col("title"), F.col("words")))
+    newest = [F.desc("created_at"), F.col("content_id")]
+    lists = ranked(met, ["source", "words"], newest).filter(F.col("rank") <= F.col("deep")).select("source", "words", "content_id", "created_at")
+    left = asked.join(lists, ["source", "words"]).join(had, ["user_id", "content_id"], "left_anti")
+    top = ranked(left, ["user_id", "source"], newest)
     return top.filter(F.col("rank") <= most).select("user_id", "content_id", "rank")
 
 
