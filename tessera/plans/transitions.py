@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import evidence
-from tessera.operators import joins
+from tessera.operators import joins, scraping
 from tessera.plans.registry import AS_OF, Tables, query
 from tessera.plans.relational import users
 
@@ -175,3 +175,38 @@ def small_forms(t: Tables) -> DataFrame:
 def day_ranges(t: Tables) -> DataFrame:
     a = F.col("o_orderdate").cast("date")
     return t.orders.select(F.col("o_orderkey").alias("id"), evidence.day_range(a, F.date_add(a, (F.col("o_orderkey") % 40).cast("int"))).alias("shown"))
+
+
+_FOUND_SQL = """
+    found as (select 's' || (user_id % 12) as source, cast(ts as date) as run, event_id as place, (cast(json_extract_string(props, '$.k') as int) * 7 + user_id)::varchar as lot_id, event_type <> 'error' as fetched, event_type <> 'signup' as fits from events),
+    flags as (select *, case source when 's11' then null else source not in ('s3', 's7') end as active, substr(lot_id, 1, 1) = '9' as old from found),
+    marked as (select *, coalesce(max((coalesce(active, false) and not old and fetched and fits)::int) over (partition by source, lot_id order by run, place rows between unbounded preceding and 1 preceding), 0) = 1 as made from flags),
+    judged as (select *, case when active is null then 'no-source' when not active then 'inactive' when old or made then 'existing' when not fetched then 'failed' when not fits then 'filtered' else 'created' end as outcome from marked),
+    log as (select source, run, case when count(*) filter (outcome = 'failed') > 0 then 'partial' else 'success' end as status, count(*) as found, count(*) filter (outcome <> 'failed') as done, count(*) filter (outcome = 'failed') as failed,
+                   count(*) filter (outcome = 'created') as created, string_agg('Tender ' || lot_id || ': Failed to fetch tender detail', chr(10) order by place) filter (outcome = 'failed') as error from judged where active group by 1, 2)"""
+
+
+def _scraped(t: Tables) -> DataFrame:
+    """Events as tenders that sources list day by day; lots whose number begins with 9 are stored before."""
+    lot = (F.get_json_object("props", "$.k").cast("int") * 7 + F.col("user_id")).cast("string")
+    kind = F.col("event_type")
+    found = t.events.select(F.concat(F.lit("s"), (F.col("user_id") % 12).cast("string")).alias("source"), F.col("ts").cast("date").alias("run"), F.col("event_id").alias("place"), lot.alias("lot_id"), (kind != "error").alias("fetched"), (kind != "signup").alias("fits"))
+    known = found.select("source").distinct().filter("source != 's11'").withColumn("is_active", ~F.col("source").isin("s3", "s7"))
+    return scraping.outcomes(found, known, found.filter(F.col("lot_id").startswith("9")).select("source", "lot_id"))
+
+
+@query(f"with {_FOUND_SQL} select place as event_id, outcome from judged")
+def scrape_outcomes(t: Tables) -> DataFrame:
+    """What becomes of each listed tender."""
+    return _scraped(t).select(F.col("place").alias("event_id"), "outcome")
+
+
+@query(f"with {_FOUND_SQL} select * from log")
+def scrape_log(t: Tables) -> DataFrame:
+    """The log of each source's daily runs, with the lots that failed."""
+    return scraping.run_log(_scraped(t))
+
+
+@query(f"with {_FOUND_SQL} select source, count(*) as total_scrapes, count(*) filter (status = 'success') as successful_scrapes, count(*) filter (status <> 'success') as failed_scrapes, max(run) as last_run, arg_max(status, run) as last_status from log group by 1")
+def scrape_counters(t: Tables) -> DataFrame:
+    return scraping.counters(scraping.run_log(_scraped(t)))

@@ -33,7 +33,7 @@ def test_article_text(spark):
     long = "A paragraph of an article that is long enough to be kept here."
     page = f"<html><head><title>The title</title><meta name='date' content='2024-01-02'></head><body><nav><p>{long}</p></nav><p>short</p><p>{long}<script>x()</script></p><footer>{long}</footer></body>"
     got = html.article_text(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).orderBy("page_id").collect()
-    assert got[0][1:] == ("The title", long, "2024-01-02")
+    assert got[0][1:] == ("The title", long, "2024-01-02", None)
     assert [r.article for r in got[1:]] == ["", ""]
 
 
@@ -52,3 +52,60 @@ def test_missing_tables(spark, tmp_path):
     row = spark.createDataFrame([(None, "b")], "headline string, name string")
     assert row.select(tables.first_present(row, ["title", "headline", "name"])).first()[0] == "b"
     assert row.select(tables.first_present(row, ["nothing"])).first()[0] is None
+
+
+def article(spark, page, **more):
+    return html.article_text(spark.createDataFrame([(1, page)], "page_id long, html string"), **more).first()
+
+
+def test_blocks_with_domain_words_are_preferred(spark):
+    plain, named = "An ordinary paragraph, long enough to be a block, number ", "A paragraph on Climate matters, long enough for a block, number "
+    page = lambda n: "".join(f"<p>{plain}{i}</p>" for i in range(20)) + "".join(f"<li>{named}{i}" for i in range(n))
+    assert article(spark, page(3)).article == " ".join(f"{plain}{i}" for i in range(18))
+    assert article(spark, page(4)).article == " ".join(f"{named}{i}" for i in range(4))
+    assert article(spark, page(4), terms=["nothing"]).article.startswith(plain)
+    assert len(article(spark, f"<p>{'x' * 9000}</p>").article) == 4500
+
+
+def test_blocks_in_blocks_and_open_elements(spark):
+    a, b = "First text that is long enough to be kept as a block here", "Second text that is long enough to be kept as a block too"
+    assert article(spark, f"<ul><li>{a}<p>{b}</p></li></ul>").article == f"{a}{b} {b}"
+    assert article(spark, f"<p>{a}<p>{b}<div>left out, it is in no block of its own at all</div>").article == f"{a} {b}"
+    assert article(spark, f"<header><p>{a}</p></header><h2>{a}&amp;<b>{b}</b></h2><svg/><form><p>{b}</p></form>").article == f"{a}&{b}"
+    assert article(spark, f"<aside><p>{a}\x00 \n\t x</p></aside><h4>{b}</h4>").article == f"{a} x"
+
+
+def test_dates_of_pages(spark):
+    import datetime as dt
+
+    day = dt.date(2024, 6, 1)
+    cases = [
+        ('<meta name="dc.date" content="2024-05-01T23:30:00-03:00"><time datetime="2020-01-01">', "2024-05-02", None), ('<time>x</time><time datetime="5 May 2024">', "2024-05-05", None), ('<time datetime="May 5, 2024">', "2024-05-05", None),
+        ('<meta name="date" content="2024"><meta property="article:modified_time" content="Sat, 04 May 2024 10:00:00 GMT">', None, "2024-05-04"), ('<meta property="article:published_time" content="2024-06-03"><meta name="updated" content="2024-06-04">', "2024-06-03", None),
+        ('<meta name="date" content="soon"><meta name="last-modified" content="2024/05/01">', None, "2024-05-01"),
+    ]
+    for page, published, updated in cases:
+        got = article(spark, page, today=day)
+        assert (got.published, got.updated) == (published, updated), page
+
+
+def test_articles_of_the_tables_pages(spark):
+    """All pages of the smallest table against cutting elements out by patterns."""
+    import os
+    import re
+    from html import unescape
+
+    folder = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(folder):
+        import pytest
+
+        pytest.skip("the driver's tables are not here")
+    rows = {r.page_id: r.html or "" for r in spark.read.parquet(folder).collect()}
+    got = {r.page_id: r.article for r in html.article_text(spark.read.parquet(folder)).collect()}
+    for key, page in rows.items():
+        for tag in html.DROPPED:
+            page = re.sub(rf"(?is)<{tag}[\s>].*?</{tag}>", "", page)
+        found = re.findall(r"(?is)<(?:p|li|h1|h2|h3)(?:\s[^>]*)?>(.*?)(?=</?(?:p|li|h1|h2|h3|div|ul|ol|table|article|aside|section|main|body|html)[\s>])", page)  # paragraphs may be left open
+        blocks = [t for t in (html.clean(unescape(re.sub(r"(?s)<[^>]*>", "", f))) for f in found) if len(t) >= 45]
+        named = [t for t in blocks if any(w in t.lower() for w in html.TERMS)]
+        assert got[key] == " ".join((named if len(named) >= 4 else blocks)[:18])[:4500]
