@@ -224,3 +224,28 @@ def test_top_k_of_empty_and_large_vectors(spark):
     for bad in ([1e16, 1e16], [1e300]):
         with pytest.raises(Exception, match="more than 63 bits"):
             topk.top_k(spark.createDataFrame([(0, bad), (1, bad)], schema), 5).collect()
+
+
+@pytest.mark.parametrize("crowd", [2, 32, 1000])
+def test_votes_split_over_small_and_crowded_buckets(spark, monkeypatch, crowd):
+    """Two images share two corners in crowded buckets and two in small ones: enough only together."""
+    monkeypatch.setattr(media, "CROWD", crowd)
+    rng = np.random.default_rng(4)
+
+    def corners(seed):
+        r, out = np.random.default_rng(seed), np.zeros(24, media.CORNER)
+        out["x"], out["y"], out["scale"] = r.integers(20, 200, 24), r.integers(20, 200, 24), 1
+        out["bits"] = r.integers(0, 1 << 63, (24, 4)).astype(np.uint64)
+        return out.tobytes()
+
+    rows = []
+    for node in range(40):  # the crowd, unlike each other
+        words = rng.integers(1 << 40, 1 << 60, 24 * media.TABLES)
+        words[[0, media.TABLES]] = [1, 2]
+        rows.append((node, corners(node), words.tolist()))
+    for node in (50, 51):
+        words = rng.integers(1 << 40, 1 << 60, 24 * media.TABLES)
+        words[[0, media.TABLES, 2 * media.TABLES, 3 * media.TABLES]] = [1, 2, 3, 4]
+        rows.append((node, corners(99), words.tolist()))
+    images = spark.createDataFrame(rows, "node long, corners binary, words array<long>")
+    assert [tuple(r) for r in media._copies(images).collect()] == [(50, 51)]
