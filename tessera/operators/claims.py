@@ -223,3 +223,35 @@ def combined(local: Column, model: Column) -> Column:
         passed.alias("passed"), score.alias("score"), sure.alias("recommended"), cut(F.concat(reasons, gate)).alias("reasons"), cut(F.concat(joined["repairs"], gate)).alias("repairs"),
         *(joined[k].alias(k) for k in KINDS[1:]), can.alias("can_repair"),
     )
+
+
+#: What makes an indicator specific, and words of projections, in a review of accuracy. Fixed values.
+SPECIFIC_EVIDENCE = r"(?i)\d|%|co2|co₂|scope|ifrs|issb|gri|ndc|net zero|cbam|2030|2040|2050"
+PROJECTION = r"(?i)\b(projected|expected|survey|studies indicate|could lead|could result|market is)\b"
+#: Labels that name no source. Fixed values.
+GENERIC_LABEL = r"(?i)^(source\s*\d*|regulatory body|industry body|industry report|consulting firm)$|research firm"
+
+
+def accuracy_review(drivers: DataFrame, sources: DataFrame) -> DataFrame:
+    """driver_id, level (``strong``, ``checked``, ``limited``), reasons: how far a finished driver can be relied on.
+
+    ``drivers``: driver_id, warnings and key_sources (arrays), indicator, confidence; ``sources``: driver_id,
+    authority, score of those that it cites. Null lists have no items, null marks are 0, a null indicator is empty.
+    """
+    none = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    mark = lambda c: F.coalesce(F.col(c), F.lit(0))
+    own = sources.groupBy("driver_id").agg(F.count("*").alias("n"), F.max(mark("authority")).alias("best"), F.bool_and((mark("authority") < 60) & (mark("score") < 60)).alias("weak"))
+    rows = drivers.join(own, "driver_id", "left")
+    n, sure, said = mark("n"), mark("confidence"), F.coalesce("indicator", F.lit(""))
+    generic = F.exists(none("key_sources"), lambda k: F.coalesce(F.trim(k).rlike(GENERIC_LABEL), F.lit(False)))
+    broad = said.rlike(PROJECTION) & (F.coalesce("best", F.lit(0)) < 70)
+    found = _required([
+        (F.lit("no parsed source detail"), n == 0), (F.lit("generic source label"), generic), (F.lit("evidence/KPI is not specific"), ~said.rlike(SPECIFIC_EVIDENCE)), (F.lit("projection needs direct citation"), broad),
+        (F.concat(F.lit("confidence "), sure.cast("string")), sure < 70), (F.lit("weak source mix"), F.coalesce("weak", F.lit(False))),
+    ])
+    reasons = text.unique_strings(F.concat(none("warnings"), found))
+    rows = rows.withColumns({"reasons": reasons, "_limited": (sure < 70) | generic | broad})
+    level = F.when((sure >= 80) & (F.size("reasons") == 0), "strong").when(F.col("_limited") | (F.size("reasons") >= 2), "limited").otherwise("checked")
+    rows = rows.withColumn("level", level)
+    standing = F.when(F.col("level") == "limited", F.array(F.lit("source support is limited"))).when(F.col("level") == "checked", F.array(F.lit("moderate confidence"))).otherwise(F.col("reasons"))
+    return rows.select("driver_id", "level", F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(standing).alias("reasons"))

@@ -130,3 +130,22 @@ def t_occurrence(sets: DataFrame, texts: DataFrame) -> DataFrame:
     met = probes.join(postings, "term").select("set_id", "text_id").distinct().join(wanted, "set_id").join(posted, "text_id")
     hits = F.size(F.array_intersect("own", "said"))
     return met.withColumn("hits", hits).filter(F.col("hits") >= F.col("needed")).select("set_id", "text_id", "hits")
+
+
+#: Characters a logic's term has at least, tokens of a page and of a publisher's name that are looked at, and the most points. Fixed values.
+TERM_LENGTH, PAGE_TOKENS, NAME_TOKENS, MOST_BOOST = 5, 5000, 20, 18
+
+
+def logic_boost(page: Column, priorities: Column, logic: Column) -> Column:
+    """Points for a page that fits a logic: 8 if it names one of the priority publishers, 2 for each of the logic's terms, 10 at most for these."""
+    said = text.tokens(F.coalesce(page, F.lit("")), PAGE_TOKENS)
+    named = lambda p: (F.size(text.tokens(p, NAME_TOKENS)) > 0) & text.has_sequence(said, text.tokens(p, NAME_TOKENS))
+    hit = F.exists(F.coalesce(priorities, F.array().cast("array<string>")), lambda p: F.coalesce(named(p), F.lit(False)))
+    terms = F.array_distinct(F.filter(text.tokens(F.coalesce(logic, F.lit(""))), lambda w: F.length(w) >= TERM_LENGTH))
+    hits = F.size(F.array_intersect(terms, said))
+    return F.least(F.lit(MOST_BOOST), F.when(hit, 8).otherwise(0) + F.least(hits * 2, F.lit(10)))
+
+
+def boosted(score: Column, boost: Column) -> Column:
+    """A score with points, rounded half up, from 0 to 100."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(score + boost + 0.5))).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import evidence, variants
-from tessera.operators import joins
+from tessera.operators import claims, joins
 from tessera.plans.registry import AS_OF, Tables, query
 from tessera.plans.relational import _LIKES, likes, users
 
@@ -210,11 +210,23 @@ def export_summary(t: Tables) -> DataFrame:
     return rows.agg(F.round(F.avg(F.when(kept, F.col("confidence")))).cast("int").alias("mean_confidence"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("omitted"))
 
 
-@query(f"""select case when sources >= 3 and confidence >= 75 then 'strong' when confidence >= 50 then 'checked' else 'limited' end as level, count(*) as n from (select *, cast({_SURE} as int) as confidence from {_EVIDENCE}) group by 1""")
+@query("""
+    with s as (select l_partkey as id, count(*) as n, max(l_quantity * 2) as best, bool_and(l_quantity * 2 < 60 and l_discount * 1000 < 60) as weak from lineitem where l_linenumber > 4 group by 1),
+    d as (select p_partkey as id, p_size + 50 as sure, p_partkey % 5 = 0 as warned, p_partkey % 7 = 0 as generic, p_partkey % 3 > 0 as specific, p_partkey % 4 = 0 as projected, coalesce(n, 0) as n, coalesce(best, 0) as best, coalesce(weak, false) as weak from part left join s on s.id = p_partkey),
+    r as (select *, list_filter([case when warned then 'check the year' end, case when n = 0 then 'no parsed source detail' end, case when generic then 'generic source label' end, case when not specific and not projected then 'evidence/KPI is not specific' end,
+            case when projected and best < 70 then 'projection needs direct citation' end, case when sure < 70 then 'confidence ' || sure end, case when weak then 'weak source mix' end], lambda x: x is not null) as reasons from d),
+    v as (select *, case when sure >= 80 and len(reasons) = 0 then 'strong' when sure < 70 or generic or (projected and best < 70) or len(reasons) >= 2 then 'limited' else 'checked' end as level from r)
+    select id as driver_id, level, array_to_string(case when len(reasons) > 0 or level = 'strong' then reasons when level = 'limited' then ['source support is limited'] else ['moderate confidence'] end, '|') as reasons from v""")
 def accuracy_summary(t: Tables) -> DataFrame:
-    sure = _evidence(t).withColumn("confidence", _sure())
-    level = F.when((F.col("sources") >= 3) & (F.col("confidence") >= 75), "strong").when(F.col("confidence") >= 50, "checked").otherwise("limited")
-    return sure.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+    """How far each driver can be relied on, with reasons."""
+    k = F.col("p_partkey")
+    indicator = F.when(k % 4 == 0, "It is expected to reach 5%").when(k % 3 > 0, "Scope of the rule").otherwise("growth of trade")
+    drivers = t.part.select(
+        k.alias("driver_id"), F.when(k % 5 == 0, F.array(F.lit("check the year"), F.lit("check the year "))).alias("warnings"), F.array(F.when(k % 7 == 0, " Source 12").otherwise("IEA")).alias("key_sources"), indicator.alias("indicator"), (F.col("p_size") + 50).alias("confidence"),
+    )
+    sources = t.lineitem.filter("l_linenumber > 4").select(F.col("l_partkey").alias("driver_id"), (F.col("l_quantity") * 2).alias("authority"), (F.col("l_discount") * 1000).alias("score"))
+    found = claims.accuracy_review(drivers, sources)
+    return found.select("driver_id", "level", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("""select user_id as slot, count(*) filter (where event_type = 'view') as searches, count(*) filter (where event_type = 'click') as reviews,

@@ -145,3 +145,15 @@ def test_transient_by_phrase(spark, name, status, code, message):
     chain = [(None, None, None, None)] * 7 + [(name, status, code, message)]
     df = spark.createDataFrame([(chain,), (chain[:7] + [(None,) * 4] + chain[7:],), (None,)], f"c {kind}")
     assert [r[0] for r in df.select(evidence.transient(F.col("c"))).collect()] == [message is not None, False, False]
+
+
+def test_accuracy_review(spark):
+    cases = [
+        ((None, None, "5% in 2030", 85), [(80, 80)], ("strong", [])), ((None, None, "5% in 2030", 75), [(80, 80)], ("checked", ["moderate confidence"])), ((None, ["A Research Firm"], "scope", 90), [(80, 80)], ("limited", ["generic source label"])),
+        ((["w", "w "], [None], "growth", 90), [(80, 80)], ("limited", ["w", "evidence/KPI is not specific"])), ((None, None, "expected 5%", 90), [(69, 90)], ("limited", ["projection needs direct citation"])), ((None, None, "expected 5%", 90), [(70, 9)], ("strong", [])),
+        ((None, None, "5%", 90), [(59, 59), (None, None)], ("checked", ["weak source mix"])), ((None, None, None, None), [], ("limited", ["no parsed source detail", "evidence/KPI is not specific", "confidence 0"])),
+    ]
+    drivers = spark.createDataFrame([(i, *c[0]) for i, c in enumerate(cases)], "driver_id int, warnings array<string>, key_sources array<string>, indicator string, confidence int")
+    sources = spark.createDataFrame([(i, *s) for i, c in enumerate(cases) for s in c[1]], "driver_id int, authority int, score int")
+    got = {r.driver_id: (r.level, r.reasons) for r in claims.accuracy_review(drivers, sources).collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases)}

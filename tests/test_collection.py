@@ -94,3 +94,14 @@ def test_t_occurrence(spark):
     got = collection.t_occurrence(spark.createDataFrame(sets, "set_id int, terms array<string>, needed int"), spark.createDataFrame(texts, "text_id int, terms array<string>")).collect()
     want = [(s, t, len(set(a) & set(b))) for s, a, m in sets for t, b in texts if m >= 1 and len(set(a) & set(b)) >= m]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_logic_boost(spark):
+    rows = [
+        ("The World Bank on methane limits", ["world bank"], "Methane limits and methane rules", 12), ("The World of Bank", ["World Bank"], "x", 0), ("alpha bravo charlie delta1 echoes foxtrot", [None, " ", "delta1"], "alpha bravo charlie delta1 echoes foxtrot", 18),
+        (None, ["a"], "methane", 0), ("methane", None, None, 0), ("x " * 5000 + "methane", None, "methane", 0),
+    ]
+    df = spark.createDataFrame(rows, "page string, p array<string>, logic string, want int")
+    assert [r[0] for r in df.select(collection.logic_boost(F.col("page"), F.col("p"), F.col("logic"))).collect()] == [r[3] for r in rows]
+    marks = spark.createDataFrame([(70.4, 0.0), (95.0, 9.0), (-4.0, 1.0), (70.5, 0.0)], "s double, b double")
+    assert [r[0] for r in marks.select(collection.boosted(F.col("s"), F.col("b"))).collect()] == [70, 100, 0, 71]

@@ -116,3 +116,15 @@ def test_scores_of_nothing_and_nulls(spark):
     assert queues == [(11, 1, "best"), (11, 2, "bare"), (11, 3, "esg"), (12, 1, "esg"), (12, 2, "bare"), (12, 3, "best")]
     assert selection.plan(selection.scored(spark.createDataFrame([], kind), requests)).count() == 0
 
+
+
+def test_eligible_and_replacements(spark):
+    kind = "id string, origin string, seed_urls array<string>, country_scopes array<string>, sector_scopes array<string>"
+    rows = [("all", "master", ["u"], ["All"], [" all "]), ("open", "master", ["u"], [], None), ("part", "master", ["u"], ["Saudi Arabia, UAE"], ["Oil"]), ("none", "master", [], ["All"], ["All"]), ("spec", "specialist", ["u"], ["All"], ["All"]), ("other", "master", ["u"], ["Egypt"], ["All"])]
+    requests = spark.createDataFrame([(1, "uae", "Oil & Gas"), (2, "Kazakhstan", "Banking"), (3, None, "Banking")], "request_id int, country string, sector string")
+    got = {(r.request_id, r.id) for r in selection.eligible(spark.createDataFrame(rows, kind), requests).collect()}
+    assert got == {(1, "all"), (1, "open"), (1, "part"), (2, "all"), (2, "open")}
+    logics = spark.createDataFrame([("a", 1, "s", "x", True), ("b", 2, "s", "y", None), ("c", 3, "s", "x", False), ("d", 4, "s", "x", True), ("e", 5, "t", "x", False), ("f", 6, "s", "x", False)], "id string, ordinal int, section string, type string, standard boolean")
+    asked = spark.createDataFrame([("a", ["f", "a"]), ("e", None), ("zz", [])], "logic_id string, used array<string>")
+    found = sorted(tuple(r) for r in selection.replacements(logics, asked).collect())
+    assert found == [("a", 1, "a"), ("a", 2, "c"), ("a", 3, "b"), ("e", 1, "e")]
