@@ -128,11 +128,11 @@ def minutes_left(seconds: Column) -> Column:
 
 
 def day_range(start: Column, end: Column) -> Column:
-    """One day, days of a month, or two dates."""
+    """One day (the one that is there, if only one is), days of a month, or two dates."""
     day = lambda c, f: F.date_format(c, f)
     same_month = F.date_trunc("month", start) == F.date_trunc("month", end)
     return (
-        F.when(end.isNull() | (start == end), day(start, "d MMM yyyy"))
+        F.when(start.isNull() | end.isNull() | (start == end), day(F.coalesce(start, end), "d MMM yyyy"))
         .when(same_month, F.concat(day(start, "d"), F.lit("-"), day(end, "d MMM yyyy")))
         .otherwise(F.concat(day(start, "d MMM yyyy"), F.lit(" - "), day(end, "d MMM yyyy")))
     )

@@ -157,3 +157,10 @@ def test_accuracy_review(spark):
     sources = spark.createDataFrame([(i, *s) for i, c in enumerate(cases) for s in c[1]], "driver_id int, authority int, score int")
     got = {r.driver_id: (r.level, r.reasons) for r in claims.accuracy_review(drivers, sources).collect()}
     assert got == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_day_range_of_one_date(spark):
+    import datetime as dt
+
+    days = spark.createDataFrame([(None, dt.date(2024, 3, 1)), (dt.date(2024, 3, 1), None), (None, None), (dt.date(2024, 3, 1), dt.date(2024, 3, 4))], "a date, b date")
+    assert [r[0] for r in days.select(evidence.day_range(F.col("a"), F.col("b"))).collect()] == ["1 Mar 2024", "1 Mar 2024", None, "1-4 Mar 2024"]
