@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import joins
+from tessera.operators import joins, selection
 
 
 def nodes(plan) -> list:
@@ -55,3 +55,21 @@ def test_equal_references_make_one_list(spark):
     apart = spark.createDataFrame([(1, ["s900"], ["u"]), (1, ["s1"], None), (2, ["s1", "s1"], ["v"]), (3, None, None), (4, ["s7"], ["w"])], "id long, refs array<string>, links array<string>")
     few = spark.createDataFrame([("s1", "v"), ("s2", "u"), ("s3", None), ("s4", "v"), ("s4", "v")], "source_id string, url string")
     assert sorted(map(tuple, joins.referenced_lists(apart, "id", "refs", "links", few).collect())) == [(1, "s1, s2"), (2, "s1, s4")]
+
+
+def test_replacements_order_each_list_once(spark, monkeypatch):
+    """Lists in blocks of three places, with gaps in several, equal those made one by one."""
+    monkeypatch.setattr(selection, "BLOCK", 3, raising=False)
+    logics = [(i, -(i // 2), f"s{i % 2}" if i % 9 else None, ["x", "y", None][i % 3], i % 7 == 0) for i in range(60)]
+    asked = [(i, [(i * k) % 60 for k in (1, 3, 5, 5)] if i % 4 else None) for i in range(62)]
+    found = selection.replacements(spark.createDataFrame(logics, "id long, ordinal int, section string, type string, standard boolean"), spark.createDataFrame(asked, "logic_id long, used array<long>"))
+    want = []
+    for i, used in asked:
+        mine = next((r for r in logics if r[0] == i and r[2] is not None), None)
+        rest = [r for r in logics if mine and r[2] == mine[2] and r[0] != i and not r[4] and r[0] not in (used or [])]
+        order = [i] * bool(mine) + [r[0] for r in sorted(rest, key=lambda r: (r[3] != mine[3], r[1], r[0]))]
+        want += [(i, n, x) for n, x in enumerate(order, 1)]
+    rows, made = ran(found)
+    assert sorted(map(tuple, rows)) == sorted(want)
+    windows = [n for n in made if n.nodeName() == "Window"]
+    assert not windows  # the lists are in order before logics meet them
