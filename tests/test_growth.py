@@ -73,3 +73,21 @@ def test_replacements_order_each_list_once(spark, monkeypatch):
     assert sorted(map(tuple, rows)) == sorted(want)
     windows = [n for n in made if n.nodeName() == "Window"]
     assert not windows  # the lists are in order before logics meet them
+
+
+def test_candidates_stay_where_they_are(spark):
+    """Scores send the short list of requests to the catalog, plans need one order of a section."""
+    columns = "id string, catalog_order int, section string, type string, name string, origin string, active_for array<string>, country_scopes array<string>, sector_scopes array<string>, families array<string>, seed_urls array<string>, target string, category string, version string"
+    rows = [(f"A{i}", i, "Climate Risks", "General", f"n{i}", "master", [], ["All", "UAE", "All"][: 1 + i % 3], ["All"], [], [], "", "risk", None) for i in range(200)]
+    requests = spark.createDataFrame([(1, "UAE", "Banking"), (2, "All", "Banking")], "request_id int, country string, sector string")
+    scored = selection.scored(spark.createDataFrame(rows, columns), requests)
+    found, made = ran(scored)
+    assert sorted((r.request_id, r.id) for r in found) == sorted((q, f"A{i}") for q in (1, 2) for i in range(200))
+    assert {r.country_fit for r in found if r.request_id == 1} == {12, 40} and {r.country_fit for r in found if r.request_id == 2} == {40}
+    assert not [n for n in made if n.nodeName() in ("Window", "SortMergeJoin")]
+    few = scored.filter("request_id = 1 and catalog_order < 4")
+    _, made = ran(selection.plan(few))
+    assert not [n for n in made if n.nodeName() == "SortMergeJoin"]
+    order = [r.id for r in selection.ranked(few).orderBy("place").collect()]
+    queues = {s: [r.id for r in selection.plan(few).filter(f"slot = {s}").orderBy("queue_place").collect()] for s in (7, 8)}
+    assert queues == {7: [order[0], order[2], order[3], order[1]], 8: [order[1], order[2], order[3], order[0]]}
