@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import joins, selection
+from tessera.operators import joins, limits, matching, registry, selection
+from tessera.plans import claims as claims_plans
+from tessera.plans.registry import Tables
 
 
 def nodes(plan) -> list:
@@ -91,3 +93,38 @@ def test_candidates_stay_where_they_are(spark):
     order = [r.id for r in selection.ranked(few).orderBy("place").collect()]
     queues = {s: [r.id for r in selection.plan(few).filter(f"slot = {s}").orderBy("queue_place").collect()] for s in (7, 8)}
     assert queues == {7: [order[0], order[2], order[3], order[1]], 8: [order[1], order[2], order[3], order[0]]}
+
+
+def _sent_rows(made: list) -> int:
+    return max([n.metrics().get("numOutputRows").get().value() for n in made if n.nodeName() == "BroadcastExchange"], default=0)
+
+
+def test_url_forms_are_not_broadcast(spark):
+    pages = spark.range(500).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.org/fr/"), F.col("id").cast("string")).alias("url"))
+    known = spark.createDataFrame([(1, "r1", "exact", "https://a.org/fr/7"), (2, "r2", "contains", "/fr/"), (3, "r3", "host", "a.org")], "ordinal int, record_id string, kind string, value string")
+    rows, made = ran(registry.pattern_match(pages, known))
+    assert {r.page_id: r.record_id for r in rows} == {i: "r1" if i == 7 else "r2" for i in range(500)}
+    assert _sent_rows(made) <= 10
+
+
+def test_lines_that_repeat_a_number_are_sources_of_their_own(spark, tmp_path):
+    line = "1L as l_partkey, 5L as l_orderkey, 2 as l_linenumber, 10.0D as l_quantity"
+    spark.sql(f"select {line}, 1L as l_suppkey union all select {line}, 2L").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pack = claims_plans._pack(Tables(spark, str(tmp_path))).collect()
+    assert len({r.url for r in pack}) == 2 and sorted(r.ordinal for r in pack) == [1, 2]
+
+
+def test_companies_of_one_spelling_are_compared_once(spark):
+    names = spark.createDataFrame([("red box of tin",), ("RED BOX",)], "name string")
+    companies = spark.range(400).select((500 - F.col("id")).alias("company_id"), F.lit("Red Box Of").alias("company")).unionByName(spark.createDataFrame([(7, "red box"), (3, "Red Box")], "company_id long, company string"))
+    rows, made = ran(matching.fuzzy_match(names.unionByName(spark.createDataFrame([("a red box of",)], "name string")), companies))
+    assert {(r.name, r.company_id) for r in rows} == {("RED BOX", 3)}
+    close = matching.fuzzy_match(spark.createDataFrame([("red box of old tin",)], "name string"), companies.withColumn("company", F.concat("company", F.lit(" old"))))
+    rows, made = ran(close)
+    assert [(r.company_id, r.company) for r in rows] == [(101, "Red Box Of old")]
+    assert most_rows([n for n in made if n.nodeName() in ("SortMergeJoin", "BroadcastHashJoin")]) <= 10
+
+
+def test_active_seconds_do_not_depend_on_the_order_of_equal_spans(spark):
+    spans = spark.sql("select 1L as id, timestamp_ntz '2024-01-01' as a, timestamp_ntz '2024-01-03' as b from range(50) union all select 1L, timestamp_ntz '2024-01-05', timestamp_ntz '2024-01-06' from range(50)")
+    assert [tuple(r) for r in limits.active_seconds(spans, "id", "a", "b").collect()] == [(1, 3 * 86400.0, 2)]
