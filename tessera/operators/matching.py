@@ -33,10 +33,10 @@ def fuzzy_match(names: DataFrame, companies: DataFrame, least_overlap: float = 0
 
     A company with that share of a name's n tokens lacks at most n - ceil(share * n) of them, so
     one more than that of the name's rarest tokens suffice to find it: frequent words join nothing
-    and are only counted.
+    and are only counted. Companies of one spelling score alike, so only the smallest id of each is compared.
     """
     left = names.select("name").filter("name is not null").distinct()
-    right = companies.filter("company is not null").select("company_id", "company")
+    right = companies.filter("company is not null").groupBy("company").agg(F.min("company_id").alias("company_id")).select("company_id", "company")
     equal = left.join(right.withColumn("_low", F.lower("company")), F.lower("name") == F.col("_low")).drop("_low")
     equal = _least_id(equal, "name").withColumn("score", F.lit(1.0))
     rest = left.join(equal.select("name"), "name", "left_anti").withColumn("words", name_tokens(F.col("name")))
