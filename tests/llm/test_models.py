@@ -249,3 +249,63 @@ def test_votes_split_over_small_and_crowded_buckets(spark, monkeypatch, crowd):
         rows.append((node, corners(99), words.tolist()))
     images = spark.createDataFrame(rows, "node long, corners binary, words array<long>")
     assert [tuple(r) for r in media._copies(images).collect()] == [(50, 51)]
+
+
+def far_apart(seed, n, like=None, flipped=0):
+    """Corners at random; with ``like``, its corners with so many bits of each turned over."""
+    r = np.random.default_rng(seed)
+    if like is not None:
+        bits = np.unpackbits(np.ascontiguousarray(like["bits"]).view(np.uint8), axis=1)
+        for row in bits:
+            row[r.choice(256, flipped, replace=False)] ^= 1
+        out = like.copy()
+        out["bits"] = np.packbits(bits, axis=1).view("<u8")
+        return out[:n]
+    out = np.zeros(n, media.CORNER)
+    out["x"], out["y"], out["scale"] = r.integers(20, 200, n), r.integers(20, 200, n), 1
+    out["bits"] = r.integers(0, 1 << 63, (n, 4)).astype(np.uint64)
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_links_of_descriptors_far_apart_in_all_tables(spark, monkeypatch, block):
+    """Every pair that agrees is linked, also where no table has a word of both."""
+    monkeypatch.setattr(media, "BLOCK", block)
+    images = [far_apart(i, n) for i, n in enumerate((24, 24, 7, 6, 24, 12))]
+    images += [far_apart(20, 24, images[0], media.DISTANCE), far_apart(21, 7, images[1], media.DISTANCE), far_apart(22, 24, images[2], media.DISTANCE)]
+    images += [far_apart(23, 6, images[4], 1), far_apart(24, 24, images[4], media.DISTANCE + 1), far_apart(25, 24, images[0], 20)]
+    want = sorted((i, j) for j in range(len(images)) for i in range(j) if media.agreeing(images[i], images[j]) >= media.VOTES)
+    assert {(0, 6), (1, 7), (2, 8)} <= set(want) and not {(4, 9), (4, 10)} & set(want)
+    assert not np.isin(media.words(images[0]), media.words(images[6])).any()
+    rows = [(i, c.tobytes(), media.words(c).ravel().tolist()) for i, c in enumerate(images)]
+    nodes = spark.createDataFrame(rows, "node long, corners binary, words array<long>")
+    assert sorted(tuple(r) for r in media._copies(nodes).collect()) == want
+
+
+def test_no_pair_of_enough_matches_leaves_before_the_consensus(monkeypatch):
+    monkeypatch.setattr(media, "VOTES", 2)
+    rng = np.random.default_rng(5)
+    blocks = []
+    for _ in range(2):
+        images = [np.zeros(n, media.CORNER) for n in rng.integers(2, 25, 30)]
+        for c in images:
+            c["bits"] = np.packbits(rng.random((len(c), 256)) < 0.13, axis=1).view("<u8")
+        blocks.append(images)
+    starts = [np.cumsum([0, *map(len, b)])[:-1] for b in blocks]
+    got = {tuple(x) for x in media.near(*(np.concatenate(b) for b in blocks), *starts).tolist()}
+    want = set()
+    for i, a in enumerate(blocks[0]):
+        for j, b in enumerate(blocks[1]):
+            close = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(axis=2) <= media.DISTANCE
+            if close.any(axis=1).sum() >= 2 and close.any(axis=0).sum() >= 2:
+                want.add((i, j))
+    assert got == want and 0 < len(want) < 900
+
+
+def test_agreement_is_the_most_of_all_proposals():
+    """Matches of one corner with many hide no proposal with more different corners."""
+    a, b = far_apart(1, 24), far_apart(2, 24)
+    a["bits"][:4] = b["bits"][:8] = 0  # 4 x 8 matches at one shift have 4 corners of an image
+    a["x"][:4], b["x"][:8], a["y"][:4], b["y"][:8] = 50, 50, 50, 50
+    b["bits"][10:18], b["x"][10:18], b["y"][10:18] = a["bits"][10:18], a["x"][10:18] + 90, a["y"][10:18]
+    assert media.agreeing(a, b) == 8
