@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,21 @@ def test_packed_paragraphs(spark):
     df = spark.createDataFrame([("\n\n".join(parts),), ("short",)], "t string")
     got = [r[0] for r in df.select(arrays.packed_paragraphs(F.col("t"), 100, 100)).collect()]
     assert got == [["a" * 40 + "\n\n" + "b" * 40, "c" * 120, "d" * 10], ["short"]]
+
+
+class Unused:
+    def __getattr__(self, name):
+        raise AssertionError("a text without digits has no quantity to look for")
+
+
+def test_texts_without_digits_are_not_matched(monkeypatch):
+    monkeypatch.setattr(metrics, "_TOKEN", Unused())
+    assert metrics.metric_tokens("march usd percent fy " * 50) == []
+
+
+def test_quantities_are_those_of_a_scan_of_every_place():
+    r = random.Random(2)
+    parts = ["1", "20", "2024", "19", "-", "–", "/", " ", "   ", "\n", ".", ",", "%", "us$", "usd", "€", "bn", "million", "march", "Mar", "september", "fy", "FY ", ":", "gw", "basis points", "per cent", "x", "_", "é", "٣", "may "]
+    for _ in range(5000):
+        body = "".join(r.choice(parts) for _ in range(r.randrange(1, 14)))
+        assert [m.span() for m in metrics._quantities(body)] == [m.span() for m in metrics._TOKEN.finditer(body)], body
