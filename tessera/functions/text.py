@@ -172,10 +172,11 @@ CAPITALS = "id url bin tin iin kpp ogrn esg gri tcfd sasb issb msci cdp ip ftp s
 
 def key_label(key: Column) -> Column:
     """A key of a record as words: the first with a capital, the others in lower case, acronyms in capitals, its language behind."""
-    ending = F.coalesce(*(F.when(key.endswith(e) & (F.length(key) > len(e)), F.lit(e)) for e in LANGUAGE_ENDINGS), F.lit(""))
-    tag = F.coalesce(*(F.when(ending == e, F.lit(f" ({tag})")) for e, tag in LANGUAGE_ENDINGS.items()), F.lit(""))
-    bare = F.substr(key, F.lit(1), F.length(key) - F.length(ending))
-    words = F.filter(F.split(F.replace(bare, F.lit("-"), F.lit("_")), "_"), lambda w: w != "")
-    words = F.when(F.size(words) > 0, words).otherwise(F.array(bare))
-    shown = lambda w, i: F.when(F.lower(w).isin(CAPITALS), F.upper(w)).when(i == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))).otherwise(F.lower(w))
-    return F.concat(F.array_join(F.transform(words, shown), " "), tag)
+    ending = rf"(?s)(?<=.)({'|'.join(LANGUAGE_ENDINGS)})\z"
+    # Each part is bound once: an expression that is named again would be worked out again.
+    shown = lambda w, low, i: F.when(low.isin(CAPITALS), F.upper(w)).when(i == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))).otherwise(low)
+    word = lambda w, i: F.transform(F.array(F.lower(w)), lambda low: shown(w, low, i))[0]
+    said = lambda bare: F.coalesce(F.nullif(F.array_join(F.transform(F.regexp_extract_all(bare, F.lit("[^-_]+"), F.lit(0)), word), " "), F.lit("")), bare)
+    tag = lambda found: F.coalesce(*(F.when(found == e, F.lit(f" ({t})")) for e, t in LANGUAGE_ENDINGS.items()), F.lit(""))
+    bare = F.transform(F.array(F.regexp_replace(key, ending, "")), said)[0]
+    return F.concat(F.coalesce(bare, F.lit("")), F.coalesce(F.transform(F.array(F.regexp_extract(key, ending, 1)), tag)[0], F.lit("")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import evidence
 from tessera.functions.catalog import TITLE_KEYS
 from tessera.functions.text import key_label
-from tessera.session import cut
+from tessera.session import cut, sent
 
 #: Fields that have places of their own, and titles of nested ones. Fixed values.
 SHOWN_ELSEWHERE = ["_documents", "_lots", "title", "buyer_name", "buyer_external_id", "source_url"]
@@ -54,10 +54,16 @@ def title(field: Column) -> Column:
     return key_label(F.regexp_replace(field, "^_+", ""))
 
 
-def fields(records: DataFrame, key: str, json: str) -> DataFrame:
-    """key, field and value (variant) of every field of every record; text that is no JSON record has none."""
-    parsed = records.select(key, F.try_parse_json(json).alias("_v")).filter(is_record(F.col("_v")))
-    return parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(key, F.col("key").alias("field"), "value")
+def titled(rows: DataFrame, field: str) -> DataFrame:
+    """``rows`` (read twice) with the title of ``field``, null for null; each different field is worded once."""
+    names = rows.select(field).distinct().filter(F.col(field).isNotNull())
+    return rows.join(sent(names.select(field, title(F.col(field)).alias("title"))), field, "left")
+
+
+def fields(records: DataFrame, key: str, json: str, *more: str) -> DataFrame:
+    """key, ``more`` columns, field and value (variant) of every field of every record; text that is no JSON record has none."""
+    parsed = records.select(key, *more, F.try_parse_json(json).alias("_v")).filter(is_record(F.col("_v")))
+    return parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(key, *more, F.col("key").alias("field"), "value")
 
 
 def records_below(records: DataFrame, key: str, json: str, field: str) -> DataFrame:
@@ -93,13 +99,13 @@ def presented(records: DataFrame, key: str, json: str) -> DataFrame:
     scalars, lists as JSON. Level after level until no mapping or sequence is left to open.
     """
     value = F.col("value")
-    level = fields(records, key, json).select(key, F.array("field").alias("path"), title(F.col("field")).alias("title"), "value", F.lit(False).alias("in_list"))
+    level = fields(records, key, json).select(key, F.array("field").alias("path"), "field", F.lit(None).cast("string").alias("head"), "value", F.lit(False).alias("in_list"))
     nodes = None
     while True:
         kind = F.when(is_record(value), "mapping").when(~is_list(value) | F.col("in_list"), "scalar").when(_nested(value), "sequence").otherwise("scalar_list")
         level = cut(level.filter(~is_empty(value)).withColumn("kind", kind))
         inner = F.col("kind").isin("mapping", "sequence")
-        found = level.select(key, F.array_join("path", "/").alias("path"), "kind", "title", F.when(~inner, shown(value)).alias("value"))
+        found = titled(level, "field").select(key, F.array_join("path", "/").alias("path"), "kind", F.coalesce("title", "head").alias("title"), F.when(~inner, shown(value)).alias("value"))
         nodes = found if nodes is None else nodes.unionByName(found)
         above = level.filter(inner).select(key, F.col("path").alias("_path"), F.col("value").alias("_v"))
         if above.isEmpty():
@@ -108,6 +114,6 @@ def presented(records: DataFrame, key: str, json: str) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy(key, "_path").orderBy("pos"))
         named = [F.when(~is_empty(F.try_variant_get(value, f"$.{k}", "variant")), shown(F.try_variant_get(value, f"$.{k}", "variant"))) for k in TITLE_KEYS]
         item = F.concat(F.lit("Item "), nth.cast("string"))
-        head = F.when(F.col("key").isNotNull(), title(F.col("key"))).when(is_record(value), F.coalesce(*named, item)).otherwise(item)
+        head = F.when(F.col("key").isNotNull(), F.lit(None)).when(is_record(value), F.coalesce(*named, item)).otherwise(item)
         step = F.when(F.col("key").isNotNull(), F.col("key")).otherwise((nth - 1).cast("string"))
-        level = rows.select(key, F.concat("_path", F.array(step)).alias("path"), head.alias("title"), "value", F.col("key").isNull().alias("in_list"))
+        level = rows.select(key, F.concat("_path", F.array(step)).alias("path"), F.col("key").alias("field"), head.alias("head"), "value", F.col("key").isNull().alias("in_list"))
