@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import variants
+from tessera.session import cut
 
 #: Names of the sources that are shown by their own fields. Fixed values.
 PLAIN_SOURCES = {
@@ -80,13 +81,14 @@ def source_views(records: DataFrame, key: str = "id", source: str = "source", js
     """
     spark = records.sparkSession
     known = records.select(key, F.col(source).alias("source"), F.col(json).alias("_json")).filter(F.col("source").isin(*EYEBROWS) & variants.is_record(F.try_parse_json(json)))
-    own = variants.fields(known, key, "_json").join(known.select(key, "source"), key)
+    known = cut(known)
+    own = cut(variants.fields(known, key, "_json", "source"))
     value = F.col("value")
     inner = own.filter(F.col("field").isin(INNER) & variants.is_record(value)).select(key, "source", F.col("field").alias("_above"), F.col("value").alias("_v"))
     inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(key, "source", "_above", F.col("key").alias("field"), "value")
     merged = F.coalesce(*(F.when(F.col("source") == s, F.lit(f)) for s, f in MERGED.items()))
     over = inner.filter(F.col("_above") == merged).select(key, "source", "field", "value", F.lit(0).alias("_first"))
-    lots = variants.records_below(known, key, "_json", "_lots").groupBy(key).count()
+    lots = own.filter("field = '_lots'").groupBy(key).agg(F.sum(F.size(F.filter(F.try_variant_get(value, "$", "array<variant>"), variants.is_record)).cast("long")).alias("count"))
     n_lots = known.join(lots, key, "left").select(key, "source", F.lit("#lots").alias("path"), F.to_variant_object(F.array(F.coalesce("count", F.lit(0)))).alias("value"))
     n_lots = n_lots.withColumn("value", F.try_variant_get(value, "$[0]", "variant"))
     flat = own.withColumn("_first", F.lit(1)).unionByName(over)
@@ -96,7 +98,7 @@ def source_views(records: DataFrame, key: str = "id", source: str = "source", js
     table = field_table(spark)
     met = flat.join(F.broadcast(table), ["source", "path"]).filter(F.when(F.col("how") == "there", value.isNotNull() & ~F.is_variant_null(value)).otherwise(~variants.is_empty(value)))
     got = met.groupBy(key, "part", "place", "label").agg(F.min_by(F.struct(variants.shown(value).alias("text"), variants.is_empty(value).alias("empty")), "pos").alias("s"))
-    got = got.select(key, "part", "place", "label", "s.text", "s.empty")
+    got = cut(got.select(key, "part", "place", "label", "s.text", "s.empty"))
     heads = ["heading", "subtitle", "status"]
     rows = got.filter(~F.col("part").isin(heads) & ~F.col("empty")).select(key, "part", "place", "label", F.col("text").alias("value"))
 

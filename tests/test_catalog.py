@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import catalog, variants
+from tessera.functions import catalog, evidence, variants
 from tessera.operators import views
 from tessera.sources import tables, workbook
 
@@ -95,3 +95,23 @@ def test_pack_of_three_sheets(spark, tmp_path):
     rows = workbook.read_workbooks(workbook.files(spark, str(tmp_path)))
     first = rows.filter("position = 1").select("cells").first()[0]
     assert first == ["2", "80.0", "1"]
+
+
+def test_titles_are_worded_once_for_each_field(spark):
+    rows = spark.createDataFrame([(1, "_buyer_id"), (2, "_buyer_id"), (3, None), (4, "title_ru")], "id int, field string")
+    got = variants.titled(rows, "field")
+    assert {r.id: r.title for r in got.collect()} == {1: "Buyer ID", 2: "Buyer ID", 3: None, 4: "Title (RU)"}
+    assert "Aggregate [field" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_source_views_parse_records_once(spark):
+    records = spark.createDataFrame([("a", "mitwork", '{"announcement_number":"7"}')], "id string, source string, json string")
+    plan = views.source_views(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 0
+
+
+def test_bucket_counts(spark):
+    rows = [(1, ["url", "buyer_name", "x"]), (1, ["link"]), (2, ["url", "path"]), (None, ["url"]), (3, []), (4, None)]
+    got = evidence.bucket_counts(spark.createDataFrame(rows, "id int, keys array<string>"), "id", "keys")
+    assert sorted(map(tuple, got.collect())) == [("Additional facts", 1, 1), ("Identity", 1, 1), ("References", 5, 2)]
+    assert evidence.bucket_counts(spark.createDataFrame([], "id int, keys array<string>"), "id", "keys").count() == 0
