@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The least confidence that a claim is accepted with, and rewrites allowed. Fixed values.
@@ -29,6 +29,20 @@ def bucket(key: Column) -> Column:
     return F.coalesce(*(F.when(test, F.lit(name)) for name, test in tests), F.lit("Additional facts"))
 
 
+def bucket_counts(records: DataFrame, key: str, keys: str) -> DataFrame:
+    """bucket, n, records: how many of the records' ``keys`` (array) a group shows, and of how many different records.
+
+    The groups are known, so each record keeps a number for each and is one row, not one for each key.
+    """
+    names = [*BUCKETS, "Additional facts"]
+    held = records.select(key, F.transform(keys, bucket).alias("_b"))
+    of = lambda name: lambda b: b == name
+    each = held.groupBy(key).agg(*(F.sum(F.size(F.filter("_b", of(name)))).alias(f"_{i}") for i, name in enumerate(names)))
+    sums = [f(i) for i in range(len(names)) for f in (lambda i: F.sum(f"_{i}").alias(f"n{i}"), lambda i: F.count_if(F.col(key).isNotNull() & (F.col(f"_{i}") > 0)).alias(f"r{i}"))]
+    rows = F.array(*(F.struct(F.lit(name).alias("bucket"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("records")) for i, name in enumerate(names)))
+    return each.agg(*sums).select(F.inline(rows)).filter("n > 0")
+
+
 def derived_confidence(average: Column, model: Column, indicator: Column, sources: Column, authoritative: Column, bad_label: Column, bad_metric: Column, weak_title: Column) -> Column:
     """0.55 of the sources' mean score, 0.25 of the model's, points for detail and depth, less penalties.
 
