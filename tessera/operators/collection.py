@@ -16,18 +16,23 @@ NO_CONCEPT = (
 ).split()
 
 
-def page_key(url: Column) -> Column:
-    """What makes two links one page: lower case, no fragment, no campaign parameters; null for what is no URL."""
-    key = F.regexp_replace(urls.dedup_key(url), r"^([a-z][a-z0-9+.-]*://[^/?]+)$", "$1/")
-    return F.when(key.rlike(r"^[a-z][a-z0-9+.-]*://[^/?]+"), key)
+#: What page_keys leaves as it is: lower-case ASCII with a path and no query or fragment.
+_PLAIN = r"""^[a-z][a-z0-9+.-]*://[!"$%'-.0->@\[-~]+/[!"$%'->@\[-~]*\z"""
 
 
-def collected(items: DataFrame, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
-    """The sources of each logic and the pages turned down: (logic_id, source_id, url, tier, score), (logic_id, url, tier, reason).
+def page_keys(url: Column) -> Column:
+    """What makes two links one page, in an array: lower case, no fragment, no campaign parameters; an empty one for what is no URL."""
+    full = F.regexp_replace(urls.dedup_key(url), r"^([a-z][a-z0-9+.-]*://[^/?]+)$", "$1/")
+    key = F.when(url.rlike(_PLAIN), url).otherwise(full)
+    return F.filter(F.array(key), lambda k: k.rlike(r"^[a-z][a-z0-9+.-]*://[^/?]+"))
+
+
+def judged(items: DataFrame, kept: int = KEPT) -> DataFrame:
+    """The sources of each logic and the pages turned down: logic_id, source_id, url, tier, score, reason (null for a source).
 
     ``items``: logic_id, tier (``seed``, ``publisher``, ``registry`` or ``search``), query (its number,
-    from 0; 0 for other tiers), place, url, approved (by its URL), accepted (by its content), and the
-    marks authority, relevance, freshness and boost.
+    from 0; 0 for other tiers), place, url, approved (by its URL), accepted (by its content), the marks
+    authority, relevance, freshness and boost, and, if places repeat, line (which of equal links is first).
 
     A logic with seeds takes the first of READ seeds that is approved and accepted, alone. If there is
     none but one was approved, pages of the publisher tier that are no seeds follow, READ approved ones.
@@ -35,59 +40,68 @@ def collected(items: DataFrame, kept: int = KEPT) -> tuple[DataFrame, DataFrame]
     before (as many a query as places were open) are fewer pages than that, and READ approved pages
     are read in all. Accepted ones are ranked by score, kept and numbered. Pages count once a logic,
     where they come first; links that are no URLs don't count. Null flags are false, null marks 0.
+
+    Rows travel once and are sorted three times whole (by tier, by page, by tier): every window names
+    the whole order, so that those with one order share one sort.
     """
     flag, mark = (lambda c: F.coalesce(F.col(c), F.lit(False))), (lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double"))
-    rows = items.select("logic_id", "tier", F.coalesce("query", F.lit(0)).alias("query"), "place", "url", page_key(F.col("url")).alias("key"), flag("approved").alias("approved"), flag("accepted").alias("accepted"), *(mark(c).alias(c) for c in ("authority", "relevance", "freshness", "boost")))
-    rows = rows.filter("key is not null")
-    by_logic = Window.partitionBy("logic_id")
-    rows = rows.withColumn("seeded", F.max(F.col("tier") == "seed").over(by_logic))
     rank = F.when(F.col("tier") == "seed", 0).when(F.col("tier") == "publisher", 1).when(F.col("tier") == "registry", 2).otherwise(3)
-    rows = rows.withColumn("rank", rank).filter(F.col("seeded") == (F.col("rank") <= 1))
-    order = ["rank", "query", "place", "url"]
+    line = F.col("line") if "line" in items.columns else F.lit(0)
+    base = F.round(mark("authority") * 0.45 + mark("relevance") * 0.35 + mark("freshness") * 0.2, 9)
+    fit = (mark("relevance") >= 20) | (mark("authority") >= 75)
+    rows = items.select(
+        "logic_id", "tier", rank.alias("rank"), F.coalesce("query", F.lit(0)).alias("query"), "place", "url", line.alias("line"), F.explode(page_keys(F.col("url"))).alias("key"),
+        flag("approved").alias("approved"), flag("accepted").alias("accepted"), fit.alias("fit"), base.alias("base"), mark("boost").alias("boost"),
+    )
+    order = ["rank", "query", "place", "url", "line"]
+    start, end, here = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
+    by_tier = Window.partitionBy("logic_id").orderBy(*order)
+    in_tier = Window.partitionBy("logic_id", "rank").orderBy(*order[1:])
+
+    # A query gives as many results as places are open, READ at most.
+    rows = rows.withColumn("_lead", F.first("rank").over(by_tier.rowsBetween(start, here))).filter((F.col("_lead") == 0) == (F.col("rank") <= 1))
+    per_query = Window.partitionBy("logic_id", "rank", "query").orderBy(*order[2:])
+    rows = rows.withColumn("_q", F.row_number().over(per_query)).filter((F.col("rank") < 3) | (F.col("_q") <= READ))
 
     # Pages of each tier once, so that a tier's caps count pages.
-    first = Window.partitionBy("logic_id", "rank", "key").orderBy(*order)
+    first = Window.partitionBy("logic_id", "key", "rank").orderBy(*order[1:])
+    by_page = Window.partitionBy("logic_id").orderBy("key", *order).rowsBetween(start, end)
     found = rows.withColumn("_n", F.row_number().over(first))
-    in_tier = Window.partitionBy("logic_id", "rank").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    registry = found.withColumn("nth", F.sum(((F.col("_n") == 1) & F.col("approved")).cast("int")).over(in_tier))
-    registry = registry.withColumn("open", READ - F.least(F.lit(READ), F.sum(((F.col("rank") == 2) & (F.col("_n") == 1) & F.col("approved")).cast("int")).over(by_logic)))
-    # A query gives as many results as places are open; it runs if the pages of those before are fewer.
-    per_query = Window.partitionBy("logic_id", "rank", "query").orderBy("place", "url")
-    shown = registry.withColumn("_q", F.row_number().over(per_query)).filter((F.col("rank") < 3) | (F.col("_q") <= F.col("open")))
-    shown = shown.withColumn("_n", F.row_number().over(first))
-    pages = F.sum((F.col("_n") == 1).cast("int"))
-    earlier = Window.partitionBy("logic_id", "rank").orderBy("query").rangeBetween(Window.unboundedPreceding, -1)
-    asked = Window.partitionBy("logic_id", "rank").orderBy("query")
-    shown = shown.withColumn("_before", F.coalesce(pages.over(earlier), F.lit(0))).withColumn("_turn", F.dense_rank().over(asked))
-    shown = shown.filter((F.col("rank") < 3) | (F.col("_turn") == 1) | (F.col("_before") < F.col("open"))).filter("_n = 1")
-
-    # One list a logic: pages of an earlier tier don't come again.
-    seen = Window.partitionBy("logic_id", "key").orderBy("rank")
-    listed = shown.withColumn("_s", F.row_number().over(seen)).filter("_s = 1")
-    running = Window.partitionBy("logic_id", "rank").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.coalesce(F.count("*").over(running), F.lit(0))
+    known = (F.col("rank") == 2) & (F.col("_n") == 1) & F.col("approved")
+    found = found.withColumn("open", READ - F.least(F.lit(READ), F.sum(known.cast("int")).over(by_page)))
+    shown = found.filter((F.col("rank") < 3) | (F.col("_q") <= F.col("open"))).withColumn("_n", F.row_number().over(first))
+    seen = Window.partitionBy("logic_id", "key").orderBy(*order)
+    shown = shown.withColumn("_s", F.row_number().over(seen)).filter("_n = 1")
+
+    # A query runs if the pages of those before are fewer; in the one list a logic reads, pages of an earlier tier don't come again.
+    earlier = Window.partitionBy("logic_id", "rank").orderBy("query").rangeBetween(start, -1)
+    shown = shown.withColumn("_opening", F.first("query").over(in_tier.rowsBetween(start, here))).withColumn("_before", F.count("*").over(earlier))
+    listed = shown.filter((F.col("rank") < 3) | (F.col("query") == F.col("_opening")) | (F.col("_before") < F.col("open"))).filter("_s = 1")
+    number = lambda c, w: F.coalesce(F.sum(c.cast("int")).over(w.rowsBetween(start, -1)), F.lit(0))
     good = F.col("approved") & F.col("accepted")
-    before_good = F.coalesce(F.sum(good.cast("int")).over(running), F.lit(0))
-    before_approved = F.coalesce(F.sum(F.col("approved").cast("int")).over(Window.partitionBy("logic_id", F.col("rank") > 1).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seeds = listed.withColumn("_place", place).withColumn("_good", before_good)
-    seed_read = (F.col("rank") == 0) & (F.col("_place") < READ) & (F.col("_good") == 0)
-    seeds = seeds.withColumn("_got", F.max(seed_read & good).over(by_logic)).withColumn("_any", F.max(seed_read & F.col("approved")).over(by_logic))
-    within = Window.partitionBy("logic_id", "rank").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    nth_publisher = F.coalesce(F.sum(F.col("approved").cast("int")).over(within), F.lit(0))
-    seeds = seeds.withColumn("_p", nth_publisher).withColumn("_a", before_approved)
+    listed = listed.withColumn("_place", F.row_number().over(in_tier)).withColumn("_good", number(good, in_tier))
+    listed = listed.withColumn("_p", number(F.col("approved"), in_tier)).withColumn("_a", number(F.col("approved"), by_tier))
+    seed_read = (F.col("rank") == 0) & (F.col("_place") <= READ) & (F.col("_good") == 0)
+    whole = by_tier.rowsBetween(start, end)
+    listed = listed.withColumn("_got", F.max(seed_read & good).over(whole)).withColumn("_any", F.max(seed_read & F.col("approved")).over(whole))
     read = F.when(F.col("rank") == 0, seed_read).when(F.col("rank") == 1, ~F.col("_got") & F.col("_any") & F.col("approved") & (F.col("_p") < READ)).otherwise(F.col("approved") & (F.col("_a") < READ))
-    looked_at = seeds.withColumn("_read", read).filter("_read")
-
-    base = F.col("authority") * 0.45 + F.col("relevance") * 0.35 + F.col("freshness") * 0.2
-    able = looked_at.filter(good & ((F.col("relevance") >= 20) | (F.col("authority") >= 75))).withColumn("_base", F.round(base, 9))
-    best = Window.partitionBy("logic_id").orderBy(F.desc("_base"), *order)
-    able = able.withColumn("_b", F.row_number().over(best)).filter(F.col("_b") <= RANKED)
-    able = able.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.col("_base") + F.col("boost") + 0.5))).cast("int"))
-    final = Window.partitionBy("logic_id").orderBy(F.desc("score"), "_b")
-    sources = able.withColumn("_f", F.row_number().over(final)).filter(F.col("_f") <= kept)
-    sources = sources.select("logic_id", F.concat(F.lit("S"), F.col("_f").cast("string")).alias("source_id"), "url", "tier", "score")
-    reason = F.when(~F.col("approved"), "not-approved").otherwise("not-accepted")
-    return sources, looked_at.filter(~good).select("logic_id", "url", "tier", reason.alias("reason"))
+
+    able = listed.filter(read).withColumn("_able", good & F.col("fit"))
+    best = Window.partitionBy("logic_id").orderBy(F.desc("_able"), F.desc("base"), *order)
+    able = able.withColumn("_b", F.row_number().over(best)).withColumn("_ranked", F.col("_able") & (F.col("_b") <= RANKED))
+    able = able.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.col("base") + F.col("boost") + 0.5))).cast("int"))
+    final = Window.partitionBy("logic_id").orderBy(F.desc("_ranked"), F.desc("score"), "_b")
+    source = F.col("_ranked") & (F.col("_f") <= kept)
+    return able.withColumn("_f", F.row_number().over(final)).filter(source | ~good).select(
+        "logic_id", F.when(source, F.concat(F.lit("S"), F.col("_f").cast("string"))).alias("source_id"), "url", "tier", F.when(source, F.col("score")).alias("score"),
+        F.when(~F.col("approved"), "not-approved").when(~F.col("accepted"), "not-accepted").alias("reason"),
+    )
+
+
+def collected(items: DataFrame, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
+    """``judged`` as two tables: (logic_id, source_id, url, tier, score) of the sources, (logic_id, url, tier, reason) of the rest."""
+    pages = judged(items, kept)
+    return pages.filter("reason is null").select("logic_id", "source_id", "url", "tier", "score"), pages.filter("reason is not null").select("logic_id", "url", "tier", "reason")
 
 
 def concept_terms(body: Column, most: int = 16) -> Column:

@@ -77,6 +77,22 @@ def test_tiers_of_nulls_and_nothing(spark):
     assert [tuple(r) for r in sources.collect()] == [(1, "S1", "https://b.org/?utm_source=1", "search", 36)] and rejected.count() == 0
 
 
+def test_a_page_is_known_by_one_key_in_short_and_in_full(spark):
+    cases = [
+        ("https://a.org/x", "https://a.org/x"), ("https://a.org", "https://a.org/"), (" HTTPS://A.org/X#f ", "https://a.org/x"), ("https://a.org/x?utm_source=1&b=2", "https://a.org/x?b=2"), ("https://a.org/é/É", "https://a.org/é/é"),
+        ("https://a.org/x&&y", "https://a.org/x&y"), ("https://a.org/x\n", "https://a.org/x\n"), ("https://a.org/[~!]'>", "https://a.org/[~!]'>"), ("https:///x", None), ("a.org/x", None), ("", None), (None, None), ("1a://b/c", None),
+    ]
+    df = spark.createDataFrame(cases, "url string, want string")
+    assert [r[0] for r in df.select(F.get(collection.page_keys(F.col("url")), F.lit(0))).collect()] == [c[1] for c in cases]
+
+
+def test_equal_links_come_in_order_of_their_lines(spark):
+    row = lambda line, accepted: (1, "seed", 0, 7, "https://a.org/x", True, accepted, 80.0, 50.0, 0.0, 0.0, line)
+    for lines in ([1, 2, 3], [3, 2, 1], [2, 1, 3]):
+        items = spark.createDataFrame([row(i, i == 1) for i in lines], ITEMS + ", line int").coalesce(1)
+        assert [r.source_id for r in collection.judged(items).collect()] == ["S1"]
+
+
 def test_concepts(spark):
     cases = [
         ("Methane & flaring cut", "Methane flaring limits in oil fields", ["methane reporting rules"], "claim"), ("Methane flaring reporting", "Methane flaring limits in oil fields", ["methane reporting"], None),

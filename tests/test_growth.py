@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import joins, limits, matching, registry, selection
 from tessera.plans import claims as claims_plans
+from tessera.plans import selection as selection_plans
 from tessera.plans.registry import Tables
 
 
@@ -128,3 +129,16 @@ def test_companies_of_one_spelling_are_compared_once(spark):
 def test_active_seconds_do_not_depend_on_the_order_of_equal_spans(spark):
     spans = spark.sql("select 1L as id, timestamp_ntz '2024-01-01' as a, timestamp_ntz '2024-01-03' as b from range(50) union all select 1L, timestamp_ntz '2024-01-05', timestamp_ntz '2024-01-06' from range(50)")
     assert [tuple(r) for r in limits.active_seconds(spans, "id", "a", "b").collect()] == [(1, 3 * 86400.0, 2)]
+
+
+def test_evidence_is_read_once_and_sorted_a_few_times(spark):
+    """Lines travel once, for sources and rejected pages together, and windows of one order share a sort."""
+    lines = spark.range(600).select(*(e.alias(n) for n, e in (
+        ("l_partkey", F.col("id") % 120), ("l_orderkey", F.col("id")), ("l_suppkey", F.col("id") % 40), ("l_linenumber", (F.col("id") % 7 + 1).cast("int")), ("l_quantity", F.lit(20.0)), ("l_discount", F.lit(0.05)), ("l_tax", F.lit(0.02)),
+    )))
+    tables = Tables(spark, "")
+    tables.lineitem = lines
+    rows, found = ran(selection_plans.evidence_tiers(tables))
+    assert {r.tier for r in rows} == {"seed", "registry", "search"} and {r.reason for r in rows} == {None, "not-approved", "not-accepted"}
+    names = [n.nodeName() for n in found]
+    assert names.count("Range") == 1 and sum("Exchange" in n for n in names) == 1 and names.count("Sort") <= 5
