@@ -309,3 +309,39 @@ def test_agreement_is_the_most_of_all_proposals():
     a["x"][:4], b["x"][:8], a["y"][:4], b["y"][:8] = 50, 50, 50, 50
     b["bits"][10:18], b["x"][10:18], b["y"][10:18] = a["bits"][10:18], a["x"][10:18] + 90, a["y"][10:18]
     assert media.agreeing(a, b) == 8
+
+
+def moved(corners, seed, zoom, flipped):
+    """A copy turned, shifted and resized by ``zoom`` steps, some corners of it elsewhere, with bits turned over."""
+    r, scales = np.random.default_rng(seed), np.array(sorted(media.SCALES, reverse=True), np.float32)
+    level = np.searchsorted(-scales, -corners["scale"]) + zoom
+    out = far_apart(seed, len(corners), corners, flipped)[(level >= 0) & (level < len(scales))]
+    level, turn = level[(level >= 0) & (level < len(scales))], int(r.integers(media.TURNS))
+    ratio, angle, x, y = out["scale"] / scales[level], 2 * np.pi * turn / media.TURNS, out["x"].copy(), out["y"].copy()
+    out["x"], out["y"] = ratio * (x * np.cos(angle) - y * np.sin(angle)) + 30 + r.uniform(-2, 2, len(out)), ratio * (x * np.sin(angle) + y * np.cos(angle)) - 9
+    out["scale"], out["turn"] = scales[level], (out["turn"] + turn + r.integers(-1, 2, len(out))) % media.TURNS
+    astray = r.random(len(out)) < 0.3
+    out["x"][astray] += r.uniform(-60, 60, astray.sum())
+    return out
+
+
+def test_few_corners_tell_which_pairs_are_compared_in_full():
+    """No link is lost, whichever zoom, side and order, though only some corners of an image meet the other's."""
+    rng = np.random.default_rng(8)
+    blocks = [[], []]
+    for k in range(40):
+        one = far_apart(k, int(rng.integers(7, 25)))
+        one["x"], one["y"] = rng.uniform(0, 10, len(one)), rng.uniform(0, 10, len(one))
+        one["scale"], one["turn"] = rng.choice(media.SCALES, len(one), p=(0.4, 0.4, 0.2)), rng.integers(0, media.TURNS, len(one))
+        two = moved(one, k, k % 3 - 1, int(rng.integers(0, media.DISTANCE + 1)))
+        blocks[k % 2].append(one)
+        blocks[1 - k % 2].append(two if len(two) else one)
+    a, b = (media.Side(np.concatenate(x), np.cumsum([0, *map(len, x)])[:-1]) for x in blocks)
+    i, j = (x.ravel() for x in np.mgrid[:40, :40])
+    for one, two, x, y in ((a, b, blocks[0], blocks[1]), (b, a, blocks[1], blocks[0])):
+        want = {(p, q) for p, q in zip(i.tolist(), j.tolist()) if media.agreeing(x[p], y[q]) >= media.VOTES}
+        assert {(p, q) for p, q in zip(i[media.linked(one, two, i, j)].tolist(), j[media.linked(one, two, i, j)].tolist())} == want
+        zooms = {p % 3 for p, q in want if p == q}
+        assert want <= set(map(tuple, media._near(one, two).tolist())) and want <= {(q, p) for p, q in media._near(two, one).tolist()} and len(zooms) == 3
+    many = media.Side(np.concatenate([far_apart(k, 24) for k in range(9)]), np.arange(9) * 24)
+    assert len(many.probes(np.ones(9 * 24, bool))) == 9 * (24 - media.VOTES + media.PROBES)
