@@ -345,3 +345,33 @@ def test_few_corners_tell_which_pairs_are_compared_in_full():
         assert want <= set(map(tuple, media._near(one, two).tolist())) and want <= {(q, p) for p, q in media._near(two, one).tolist()} and len(zooms) == 3
     many = media.Side(np.concatenate([far_apart(k, 24) for k in range(9)]), np.arange(9) * 24)
     assert len(many.probes(np.ones(9 * 24, bool))) == 9 * (24 - media.VOTES + media.PROBES)
+
+
+def test_folds_leave_out_no_match():
+    """Strips meet a part of the other side's corners only, and every pair of corners within DISTANCE is found."""
+    rng = np.random.default_rng(6)
+    sides = []
+    for _ in range(2):
+        corners = np.zeros(24 * 20, media.CORNER)
+        tilt = rng.integers(0, 2, (len(corners), media.FOLDS)) @ media._SIGNS.T  # far apart in the folds, near within one kind
+        corners["bits"] = np.packbits((tilt > 0) ^ (rng.random((len(corners), 256)) < 0.08), axis=1).view("<u8")
+        corners["scale"] = 1
+        sides.append(media.Side(corners, np.arange(20) * 24))
+    a, b = sides
+    strips, (columns, planes, folds) = a.strips(np.inf, 1), b.wide(np.equal, 1)
+    rows = np.concatenate(strips)
+    apart = np.bitwise_count(a.corners["bits"][rows][:, None] ^ b.corners["bits"][None]).sum(axis=2)
+    i, j = np.nonzero(apart <= media.DISTANCE)
+    got = list(zip(*(x.tolist() for x in a.close(strips, columns, planes, folds)), strict=True))
+    assert len(got) == len(set(got)) and set(got) == set(zip(rows[i].tolist(), j.tolist())) and 0 < len(got) < apart.size / 4
+    gap = np.abs(a.folds[:, rows, None].astype(int) - b.folds[:, None].astype(int)).max(axis=0)
+    assert (gap <= apart).all() and (gap > media.DISTANCE).mean() > 0.5
+
+
+def test_opposite_descriptors_are_no_match():
+    """All 256 bits differ: that is no distance of 0."""
+    a = far_apart(3, 24)
+    b = a.copy()
+    b["bits"] = ~a["bits"]
+    one, two, at = media.Side(a, np.zeros(1, int)), media.Side(b, np.zeros(1, int)), np.zeros(1, int)
+    assert media.agreeing(a, b) == 0 and not media.linked(one, two, at, at).any() and not len(media._near(one, two))
