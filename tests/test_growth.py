@@ -60,6 +60,25 @@ def test_equal_references_make_one_list(spark):
     assert sorted(map(tuple, joins.referenced_lists(apart, "id", "refs", "links", few).collect())) == [(1, "s1, s2"), (2, "s1, s4")]
 
 
+def sent_bytes(found: list) -> int:
+    """The most bytes that one exchange of a plan that has run took."""
+    return max(n.metrics().get("dataSize").get().value() for n in found if n.nodeName() == "Exchange")
+
+
+def test_lists_of_references_do_not_travel(spark):
+    """60 different pairs of ids and links have 300 sources each: items travel as numbers, sources once."""
+    items, sources = _referring(spark)
+    items = items.withColumn("refs", F.array(F.concat(F.lit("s"), (F.col("id") % 60).cast("string")))).unionByName(items.filter("id < 3").withColumn("refs", F.array(F.lit("t7"))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, found = ran(joins.referenced_lists(items, "id", "refs", "links", sources.unionByName(spark.createDataFrame([("t7", "v")], "source_id string, url string"))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    every = [f"s{i}" for i in range(300)]
+    assert sorted(map(tuple, rows)) == [(i, ", ".join(sorted(every + ["t7"] * (i < 3)))) for i in range(300)]
+    assert sent_bytes(found) <= 100_000
+
+
 def test_replacements_order_each_list_once(spark, monkeypatch):
     """Lists in blocks of three places, with gaps in several, equal those made one by one."""
     monkeypatch.setattr(selection, "BLOCK", 3, raising=False)
