@@ -97,6 +97,18 @@ def test_replacements_order_each_list_once(spark, monkeypatch):
     assert not windows  # the lists are in order before logics meet them
 
 
+def test_no_row_travels_for_each_logic_and_block(spark, monkeypatch):
+    """300 asked logics and a section of 150 blocks meet where the blocks are, in parts of 100 logics."""
+    monkeypatch.setattr(selection, "BLOCK", 2, raising=False)
+    monkeypatch.setattr(selection, "ASKED", 100, raising=False)
+    logics = spark.range(300).select("id", F.col("id").cast("int").alias("ordinal"), F.lit("s").alias("section"), F.lit("x").alias("type"), F.lit(False).alias("standard"))
+    asked = spark.range(300).select(F.col("id").alias("logic_id"), F.array(F.col("id") + 1, F.lit(7).cast("long")).alias("used"))
+    rows, made = ran(selection.replacements(logics, asked))
+    lists = {i: [i] + [j for j in range(300) if j not in (i, i + 1, 7)] for i in range(300)}
+    assert sorted(map(tuple, rows)) == sorted((i, n, j) for i, order in lists.items() for n, j in enumerate(order, 1))
+    assert max(n.metrics().get("shuffleRecordsWritten").get().value() for n in made if n.nodeName() == "Exchange") <= 2000
+
+
 def test_candidates_stay_where_they_are(spark):
     """Scores send the short list of requests to the catalog, plans need one order of a section."""
     columns = "id string, catalog_order int, section string, type string, name string, origin string, active_for array<string>, country_scopes array<string>, sector_scopes array<string>, families array<string>, seed_urls array<string>, target string, category string, version string"
